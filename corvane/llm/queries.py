@@ -29,6 +29,19 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), url_rules())
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.mixing import mix
 
@@ -42,4 +55,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, root, keys).select("doc_id", "start", "n_tokens", F.col("ids_crc32").cast("long").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op9_mixing, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_simhash, op6_quality, op9_mixing, op10_token_output)}
