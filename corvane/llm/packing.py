@@ -110,11 +110,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int, per_packer: int = PIECES_PER_PACKER) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
-
-    The rows must come from a written table, as each is named by its place in it.
-    """
-    rows = pieces.withColumn("_row", F.monotonically_increasing_id())
+    """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``."""
+    rows = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     part = F.col("length") < capacity
     n = rows.filter(part).count()
     packers = max(1, -(-n // per_packer))
@@ -138,5 +135,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     empty text is the end id alone; a null doc_id stays null; an empty table gives no rows; further
     columns of ``docs`` are ignored.
     """
-    pieces = materialize(token_pieces(docs, tokenizer or tokens.default_tokenizer(), capacity), "pieces")
-    return pack(pieces, capacity)
+    return pack(token_pieces(docs, tokenizer or tokens.default_tokenizer(), capacity), capacity)
