@@ -36,12 +36,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.quality import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.pivots import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.mixing import mix
 
@@ -55,4 +67,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, root, keys).select("doc_id", "start", "n_tokens", F.col("ids_crc32").cast("long").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_simhash, op6_quality, op9_mixing, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_simhash, op5_nearest_neighbours, op6_quality, op8_embedding_near_dedup, op9_mixing, op10_token_output)}

@@ -8,8 +8,11 @@ own pre-tokenization must cut too; texts where that isn't certain go to the libr
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -22,7 +25,7 @@ _UNSURE = re.compile(r"\s (?:\s|\Z)| \Z")
 _NEWLINE = re.compile(r"(?<=\S)(\n)(?=\S)")
 _TAILS = ".,!?;:%&$#*)"
 
-_cache: dict[str, dict[str, bytes]] = {}
+_cache: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _loaded: dict[str, object] = {}
 
 
@@ -45,11 +48,13 @@ def load(path: str):
 
 def encode_plain(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, straight from the library."""
-    return [np.asarray(e.ids, dtype="<u4").tobytes() for e in load(path).encode_batch(texts, add_special_tokens=False)]
+    return [np.asarray(e.ids, dtype="<u4").tobytes() for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _parts(unit: str) -> list[str]:
     """Cut a new unit further, at single newlines and before closing punctuation."""
+    if "\n" not in unit and unit[-1:] not in _TAILS:
+        return [unit]
     out = []
     for x in _NEWLINE.split(unit) if "\n" in unit else (unit,):
         stem = x.rstrip(_TAILS)
@@ -60,30 +65,75 @@ def _parts(unit: str) -> list[str]:
     return out
 
 
-def encode(path: str, texts: list[str]) -> list[bytes]:
-    """Same as ``encode_plain``, by way of the worker's cache of units."""
-    known = _cache.setdefault(path, {})
-    if len(known) > CACHE_UNITS:
-        known.clear()
-    special = [x for x in load(path).get_added_tokens_decoder().values()]
-    strings = [x.content for x in special]
-    cut: list[list[str] | None] = []
-    whole: list[int] = []
-    for i, text in enumerate(texts):
-        if "\x00" in text or _UNSURE.search(text) or any(s in text for s in strings):
-            cut.append(None)
-            whole.append(i)
+def _encode_parts(path: str, parts: list[str]) -> list[bytes]:
+    """Ids of short parts. Those without white space but a leading space go to the library as lines of one text."""
+    lines = [p for p in parts if (q := p.removeprefix(" ")) and " " not in q and q.isprintable()]  # printable: no other white space
+    known = dict.fromkeys(lines, b"")
+    newline = np.frombuffer(encode_plain(path, ["\n"])[0], "<u4")
+    if len(newline) == 1 and lines:
+        ids = np.frombuffer(encode_plain(path, ["\n".join(lines) + "\n"])[0], "<u4")
+        ends = np.flatnonzero(ids == newline[0])
+        if len(ends) == len(lines):
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(lines, (4 * ends).tolist(), strict=True):
+                known[p] = raw[at:end]
+                at = end + 4
         else:
-            cut.append(text.replace(" ", "\x00 ").split("\x00") if text else [])
-    new = {u for units in cut if units for u in units if u not in known}
-    parts = {u: _parts(u) for u in new}
-    ask = list({p for ps in parts.values() for p in ps if p not in known})
+            known.clear()
+    rest = [p for p in parts if not known.get(p)]
+    known.update(zip(rest, encode_plain(path, rest) if rest else [], strict=True))
+    return [known[p] for p in parts]
+
+
+def _learn(path: str, known: dict[str, bytes], units: set[str]) -> None:
+    """Add the ids of new units to ``known``."""
+    pieces = {u: _parts(u) for u in units}
+    ask = list({p for ps in pieces.values() for p in ps if p not in known})
     if ask:
-        known.update(zip(ask, encode_plain(path, ask), strict=True))
-    for u, ps in parts.items():
+        known.update(zip(ask, _encode_parts(path, ask), strict=True))
+    for u, ps in pieces.items():
         if u not in known:
             known[u] = b"".join([known[p] for p in ps])
-    out = [b"".join([known[u] for u in units]) if units is not None else b"" for units in cut]
-    for i, ids in zip(whole, encode_plain(path, [texts[i] for i in whole]) if whole else [], strict=True):
-        out[i] = ids
+
+
+def encode(path: str, texts: list[str]) -> list[bytes]:
+    """Same as ``encode_plain``, by way of the worker's cache of units."""
+    # by what follows a space; and by whole unit, for a text's first and for parts
+    spaced, whole_units = _cache.setdefault(path, ({}, {}))
+    if len(spaced) + len(whole_units) > CACHE_UNITS:
+        spaced.clear()
+        whole_units.clear()
+    strings = [x.content for x in load(path).get_added_tokens_decoder().values()]
+    cut: list[tuple[list[str], list[bytes | None]] | None] = []
+    new: set[str] = set()
+    firsts: set[str] = set()
+    for text in texts:
+        if _UNSURE.search(text) or any(s in text for s in strings):
+            cut.append(None)
+            continue
+        units = text.split(" ")
+        firsts.add(units[0])
+        units[0] = ""
+        got = list(map(spaced.get, units))
+        got[0] = b""
+        cut.append((units, got))
+        if None in got:
+            new.update(compress(units, map(is_, got, repeat(None))))
+    _learn(path, whole_units, {f for f in firsts if f not in whole_units} | {" " + u for u in new})
+    for u in new:
+        spaced[u] = whole_units.pop(" " + u)
+    out = []
+    plain = iter(encode_plain(path, [t for t, c in zip(texts, cut, strict=True) if c is None]))
+    for text, c in zip(texts, cut, strict=True):
+        if c is None:
+            out.append(next(plain))
+            continue
+        units, got = c
+        at = 0
+        with contextlib.suppress(ValueError):
+            while True:
+                at = got.index(None, at)
+                got[at] = spaced[units[at]]
+        got[0] = whole_units[text.partition(" ")[0]]
+        out.append(b"".join(got))
     return out
