@@ -93,16 +93,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """One row per piece of each document; null text counts as empty, a repeated row as its own document."""
     bounded_batches(docs.sparkSession)
-    end = np.array([tokens.END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(tokenizer, texts), strict=True):
-                ids += end
-                for k, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    for col, v in zip(out, (doc, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(tokenizer, batch.column(1)), strict=True):
+                for k, (at, n) in enumerate(cut(len(ids), capacity)):
+                    for col, v in zip(out, (doc, k, at, n, zlib.crc32(ids[at : at + n])), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

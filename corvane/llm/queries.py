@@ -36,6 +36,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.suffixes import KEEP_NONE, dedup
+
+    return dedup(table(spark, sf_dir, "documents"), window=200, keep=KEEP_NONE).drop("kept")
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.ann import nearest
 
@@ -48,6 +54,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.phrases import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), window=20).drop("kept")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.pivots import near_duplicates
 
@@ -67,4 +79,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, root, keys).select("doc_id", "start", "n_tokens", F.col("ids_crc32").cast("long").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_simhash, op5_nearest_neighbours, op6_quality, op8_embedding_near_dedup, op9_mixing, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_simhash, op4_suffix_array_dedup, op5_nearest_neighbours, op6_quality, op7_substring_dedup, op8_embedding_near_dedup, op9_mixing, op10_token_output)}

@@ -179,7 +179,6 @@ def write_store(docs: DataFrame, tokenizer: str | None = None, root: str | None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_TEXT_BYTES), min(spark.sparkContext.defaultParallelism, size >> 20))
-    end = np.array([tokens.END_ID], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -187,9 +186,8 @@ def write_store(docs: DataFrame, tokenizer: str | None = None, root: str | None
         last, occurrence = object(), 0
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(tokenizer, [x or "" for x in batch.column(1).to_pylist()]), strict=True):
-                ids += end
-                n = len(ids) // 4
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(tokenizer, batch.column(1)), strict=True):
+                n = len(ids)
                 occurrence, last = (occurrence + 1 if doc == last else 0), doc
                 if file is None or file.ids + n > SHARD_IDS and file.ids:
                     if file is not None:
@@ -198,7 +196,7 @@ def write_store(docs: DataFrame, tokenizer: str | None = None, root: str | None
                     file = _ShardFile(root, f"{part:06d}-{roll:04d}-{task.taskAttemptId()}.ids")
                 for col, v in zip(out, (doc, occurrence, part, file.name, file.ids, n), strict=True):
                     col.append(v)
-                file.put(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes(), n)
+                file.put(ids.astype("<u2" if width == 2 else "<u4").tobytes(), n)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "occurrence", "part", "file", "start", "count"])
         if file is not None:
             file.out.close()

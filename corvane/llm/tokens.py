@@ -1,31 +1,33 @@
 """Byte-level BPE token ids at corpus speed.
 
-The tokenizer is a public vocabulary file; its path is a parameter. Invented and natural prose
-repeats words, so a worker keeps the ids of every space-led unit that it has met and asks the
-``tokenizers`` library only for new ones. A unit may be cut from its text wherever the tokenizer's
-own pre-tokenization must cut too; texts where that isn't certain go to the library whole.
+The tokenizer is a public vocabulary file; its path is a parameter. Prose repeats words, so a batch
+of texts is cut into space-led units, each distinct unit is looked up once among those that the
+worker has met, and the ``tokenizers`` library is asked for new ones only. A text may be cut before
+a space wherever the tokenizer's own pre-tokenization must cut too; texts where that isn't certain
+(runs of white space with a space inside or at the end, the tokenizer's special strings) go to the
+library whole.
 """
 
 from __future__ import annotations
 
-import contextlib
 import os
 import re
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Appended to each document.
 END_ID = 2
 #: Units kept by a worker; when more were met, it starts anew. Bounds its memory, changes no result.
-CACHE_UNITS = 1_200_000
-#: A space inside or at the end of a run of white space: units can't be cut there.
-_UNSURE = re.compile(r"\s (?:\s|\Z)| \Z")
+CACHE_UNITS = 1_500_000
+_WHITE = r"[\s\v\x{1c}-\x{1f}\x{85}\pZ]"
+_UNSURE = rf"{_WHITE} (?:{_WHITE}|\z)| \z|\x{{0}}"
 _NEWLINE = re.compile(r"(?<=\S)(\n)(?=\S)")
-_TAILS = ".,!?;:%&$#*)"
+#: Leads the first unit of a text, which has no space before it.
+_FIRST = "\x00"
 
-_cache: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+_cache: dict[str, dict[str, bytes]] = {}
 _loaded: dict[str, object] = {}
 
 
@@ -46,94 +48,83 @@ def load(path: str):
     return _loaded[path]
 
 
-def encode_plain(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, straight from the library."""
-    return [np.asarray(e.ids, dtype="<u4").tobytes() for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
+def encode_plain(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text, straight from the library."""
+    return [np.asarray(e.ids, dtype="<u4") for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _parts(unit: str) -> list[str]:
-    """Cut a new unit further, at single newlines and before closing punctuation."""
-    if "\n" not in unit and unit[-1:] not in _TAILS:
-        return [unit]
-    out = []
-    for x in _NEWLINE.split(unit) if "\n" in unit else (unit,):
-        stem = x.rstrip(_TAILS)
-        if stem and stem != x and stem[-1].isalpha():
-            out += (stem, x[len(stem) :])
-        elif x:
-            out.append(x)
+def _encode_lines(path: str, units: list[str]) -> dict[str, bytes]:
+    """Ids of units without white space but a leading space: lines of one text, as a lone line break is a token of its own."""
+    newline = encode_plain(path, ["\n"])[0]
+    ids = encode_plain(path, ["\n".join(units) + "\n"])[0]
+    ends = np.flatnonzero(ids == newline[0]) if len(newline) == 1 else []
+    if len(ends) != len(units):
+        return {u: x.tobytes() for u, x in zip(units, encode_plain(path, units), strict=True)}
+    raw, out, at = ids.tobytes(), {}, 0
+    for u, end in zip(units, (4 * ends).tolist(), strict=True):
+        out[u] = raw[at:end]
+        at = end + 4
     return out
 
 
-def _encode_parts(path: str, parts: list[str]) -> list[bytes]:
-    """Ids of short parts. Those without white space but a leading space go to the library as lines of one text."""
-    lines = [p for p in parts if (q := p.removeprefix(" ")) and " " not in q and q.isprintable()]  # printable: no other white space
-    known = dict.fromkeys(lines, b"")
-    newline = np.frombuffer(encode_plain(path, ["\n"])[0], "<u4")
-    if len(newline) == 1 and lines:
-        ids = np.frombuffer(encode_plain(path, ["\n".join(lines) + "\n"])[0], "<u4")
-        ends = np.flatnonzero(ids == newline[0])
-        if len(ends) == len(lines):
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(lines, (4 * ends).tolist(), strict=True):
-                known[p] = raw[at:end]
-                at = end + 4
+def _learn(path: str, known: dict[str, bytes], new: list[str]) -> None:
+    """Add new units to ``known``, whose keys are units without their leading space, or with the mark of a first one."""
+    lines: set[str] = set()
+    other: set[str] = set()
+    cut: dict[str, list[str]] = {}
+    for u in new:
+        if u.isprintable() and u and " " not in u:  # no white space at all
+            lines.add(" " + u)
         else:
-            known.clear()
-    rest = [p for p in parts if not known.get(p)]
-    known.update(zip(rest, encode_plain(path, rest) if rest else [], strict=True))
-    return [known[p] for p in parts]
-
-
-def _learn(path: str, known: dict[str, bytes], units: set[str]) -> None:
-    """Add the ids of new units to ``known``."""
-    pieces = {u: _parts(u) for u in units}
-    ask = list({p for ps in pieces.values() for p in ps if p not in known})
-    if ask:
-        known.update(zip(ask, _encode_parts(path, ask), strict=True))
-    for u, ps in pieces.items():
-        if u not in known:
-            known[u] = b"".join([known[p] for p in ps])
-
-
-def encode(path: str, texts: list[str]) -> list[bytes]:
-    """Same as ``encode_plain``, by way of the worker's cache of units."""
-    # by what follows a space; and by whole unit, for a text's first and for parts
-    spaced, whole_units = _cache.setdefault(path, ({}, {}))
-    if len(spaced) + len(whole_units) > CACHE_UNITS:
-        spaced.clear()
-        whole_units.clear()
-    strings = [x.content for x in load(path).get_added_tokens_decoder().values()]
-    cut: list[tuple[list[str], list[bytes | None]] | None] = []
-    new: set[str] = set()
-    firsts: set[str] = set()
-    for text in texts:
-        if _UNSURE.search(text) or any(s in text for s in strings):
-            cut.append(None)
-            continue
-        units = text.split(" ")
-        firsts.add(units[0])
-        units[0] = ""
-        got = list(map(spaced.get, units))
-        got[0] = b""
-        cut.append((units, got))
-        if None in got:
-            new.update(compress(units, map(is_, got, repeat(None))))
-    _learn(path, whole_units, {f for f in firsts if f not in whole_units} | {" " + u for u in new})
+            cut[u] = [p for p in _NEWLINE.split(u[1:] if u[:1] == _FIRST else " " + u) if p]
+            for p in cut[u]:
+                (lines if p.isprintable() and p != " " and " " not in p[1:] else other).add(p)
+    found = _encode_lines(path, list(lines)) if lines else {}
+    found |= {p: x.tobytes() for p, x in zip(other, encode_plain(path, list(other)), strict=True)}
     for u in new:
-        spaced[u] = whole_units.pop(" " + u)
-    out = []
-    plain = iter(encode_plain(path, [t for t, c in zip(texts, cut, strict=True) if c is None]))
-    for text, c in zip(texts, cut, strict=True):
-        if c is None:
-            out.append(next(plain))
-            continue
-        units, got = c
-        at = 0
-        with contextlib.suppress(ValueError):
-            while True:
-                at = got.index(None, at)
-                got[at] = spaced[units[at]]
-        got[0] = whole_units[text.partition(" ")[0]]
-        out.append(b"".join(got))
+        known[u] = b"".join([found[p] for p in cut[u]]) if u in cut else found[" " + u]
+
+
+def encode(path: str, texts: pa.Array, end: int | None = END_ID) -> list[np.ndarray]:
+    """Ids of each text, as unsigned 32-bit integers; ``end`` is appended to each. Null counts as empty."""
+    texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if not len(texts):
+        return []
+    known = _cache.setdefault(path, {})
+    if len(known) > CACHE_UNITS:
+        known.clear()
+    whole = pc.match_substring_regex(texts, _UNSURE)
+    for special in load(path).get_added_tokens_decoder().values():
+        whole = pc.or_(whole, pc.match_substring(texts, special.content))
+    alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+    if len(alone):
+        texts_cut = pc.if_else(whole, "", texts)
+    else:
+        texts_cut = texts
+    split = pc.split_pattern(pc.binary_join_element_wise(_FIRST, texts_cut, ""), " ")
+    units = split.flatten().dictionary_encode()
+    names = units.dictionary.to_pylist()
+    got = list(map(known.get, names))
+    if None in got:
+        _learn(path, known, [u for u, g in zip(names, got, strict=True) if g is None])
+        got = list(map(known.__getitem__, names))
+    got.append(b"" if end is None else np.array([end], "<u4").tobytes())
+    flat = np.frombuffer(b"".join(got), "<u4")
+    sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+    begin = np.cumsum(sizes) - sizes
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    index = np.insert(units.indices.to_numpy().astype(np.int64), offsets[1:], len(got) - 1)
+    offsets += np.arange(len(offsets))
+    n = sizes[index]
+    ends = np.cumsum(n)
+    ids = flat[np.repeat(begin[index] - (ends - n), n) + np.arange(int(ends[-1]))]
+    cuts = np.concatenate([[0], ends])[offsets]
+    out = [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+    if len(alone):
+        tail = np.array([] if end is None else [end], "<u4")
+        for i, x in zip(alone.tolist(), encode_plain(path, texts.take(pa.array(alone)).to_pylist()), strict=True):
+            out[i] = np.concatenate([x, tail])
     return out
