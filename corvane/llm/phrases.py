@@ -169,3 +169,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) ->
     out = joined.mapInArrow(run, schema)
     doc_id = F.when(F.col("doc") != F.lit(NULL_ID), F.col("doc")).alias("doc_id")
     return out.select(doc_id, "n_words", "n_removed", "kept_sha256", "kept", *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)))
+
+
+def remove_from(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``; ``n_chars`` follows. Texts without any stay as they are.
+
+    A text that loses words keeps the others by one space each. No row goes; other columns stay.
+    """
+    carry = tuple(c for c in docs.columns if c != "doc_id")
+    out = dedup(docs.withColumn("doc_id", F.col("doc_id").cast("long")), window, carry)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    out = out.withColumn("_text", text).withColumn("text", F.col("_text"))
+    if "n_chars" in carry:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

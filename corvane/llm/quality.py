@@ -186,3 +186,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Learn from ``labels`` (doc_id, quality) and score every document (doc_id, text)."""
     return score(docs, learn(docs, labels), threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, all columns as they are."""
+    model = learn(docs, labels)
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score([x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, materialize, spread
+from corvane.llm.common import bounded_batches, materialize, splitmix, spread
 from corvane.llm.components import connected_components
 
 BITS = 64
@@ -36,15 +36,20 @@ BUCKET = 40_000
 GROUP = 16_384
 #: Bits fixed after which a group isn't divided any more: 2^20 fingerprints at most are left.
 FIXED = 44
+#: Bits in a band of a wide fingerprint.
+BAND = 12
 #: Search states held at once.
 _STATES = 1 << 20
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The SimHash of a text's word shingles; words are runs free of ASCII white space, A-Z lower-cased."""
+def fingerprint(text: bytes, width: int = 4, parts: int = 1) -> np.ndarray:
+    """The SimHash of a text's word shingles; words are runs free of ASCII white space, A-Z lower-cased.
+
+    ``parts`` 64-bit numbers: the first from the shingles' own hashes, further ones from those scrambled.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(parts, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -52,34 +57,46 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[:n].tolist(), (ends[width - 1 :] if len(words) >= width else ends[-1:]).tolist(), strict=True)
     h = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        some = h[at : at + (1 << 16)]
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row; null text counts as empty."""
+    out = np.empty(parts, np.uint64)
+    for part in range(parts):
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, n, 1 << 16):
+            some = h[at : at + (1 << 16)]
+            ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[part] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+        if part + 1 < parts:
+            h = splitmix(h)
+    return out
+
+
+def fingerprints(docs: DataFrame, width: int = 4, parts: int = 1) -> DataFrame:
+    """doc_id, hash (of the text) and fp, fp1, ... (the fingerprint's bits as longs) of every row; null text counts as empty."""
     bounded_batches(docs.sparkSession)
+    names = ["fp", *(f"fp{k}" for k in range(1, parts))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x or b"", width) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x or b"", width, parts) for x in batch.column(2).to_pylist()], np.uint64).reshape(-1, parts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(fp[:, k]) for k in range(parts))], ["doc_id", "hash", *names])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return spread(slim, "doc_id").mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    return spread(slim, "doc_id").mapInArrow(run, ", ".join(["doc_id long", "hash long", *(f"{n} long" for n in names)]))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each code word in Gray order."""
+    """The place of each code word in Gray order; words of several numbers are read one after another."""
     x = x.copy()
     for s in (1, 2, 4, 8, 16, 32):
         x ^= x >> np.uint64(s)
+    for k in range(1, x.shape[1] if x.ndim == 2 else 0):
+        x[:, k] ^= np.where(x[:, k - 1] & np.uint64(1), ~np.uint64(0), np.uint64(0))  # the ones so far are odd in number
     return x
 
 
+def _differences(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the classes of a[i] and b[i]; label[i] stays the smallest index of i's class."""
     while True:
@@ -97,10 +114,11 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 class GrayIndex:
-    """The tree over fingerprints sorted by (group, Gray rank); one root per group."""
+    """The tree over fingerprints (rows of one or more numbers) sorted by (group, Gray rank); one root per group."""
 
     def __init__(self, group: np.ndarray, fp: np.ndarray):
-        order = np.lexsort((gray_rank(fp), group))
+        fp = fp.reshape(len(fp), -1)
+        order = np.lexsort((*gray_rank(fp).T[::-1], group))
         self.order, self.fp = order, fp[order]
         group = group[order]
         m = len(fp)
@@ -118,17 +136,17 @@ class GrayIndex:
             k = np.arange(n.sum()) - first_node[of]
             first = child_start[of] + k * FAN
             count = np.minimum(FAN, child_n[of] - k * FAN)
-            low, high = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first)
+            low, high = np.bitwise_and.reduceat(low, first, axis=0), np.bitwise_or.reduceat(high, first, axis=0)
             begin_of_child, end_of_child = begin_of_child[first], end_of_child[first + count - 1]
             tree.append((first, count, low, ~(low ^ high), begin_of_child, end_of_child))
             child_start, child_n = first_node, n
             if (n == 1).all():
                 break
         tree.reverse()
-        parent_mask = np.zeros(len(starts), np.uint64)
+        parent_mask = np.zeros((len(starts), fp.shape[1]), np.uint64)
         for at, (first, count, low, mask, begin, end) in enumerate(tree):
             if at:
-                parent_mask = np.repeat(tree[at - 1][3], tree[at - 1][1])
+                parent_mask = np.repeat(tree[at - 1][3], tree[at - 1][1], axis=0)
             self.levels.append((first, count, low, mask & ~parent_mask, begin, end))
         self.root = np.repeat(np.arange(len(starts)), sizes)
 
@@ -138,7 +156,7 @@ class GrayIndex:
         label = np.arange(m)
         for step in (1, 2, 4):  # most links stand close in Gray order
             a = np.arange(max(0, m - step))
-            near = (self.root[a] == self.root[a + step]) & (np.bitwise_count(fp[a] ^ fp[a + step]) <= r)
+            near = (self.root[a] == self.root[a + step]) & (_differences(fp[a] ^ fp[a + step]) <= r)
             _merge(label, a[near], a[near] + step)
         leaves = np.bincount(self.root) // FAN + 1
         cost = np.cumsum(leaves[self.root])
@@ -153,9 +171,9 @@ class GrayIndex:
         return out
 
     def _search(self, q: np.ndarray, r: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fp, node, seen = self.fp, self.root[q], np.zeros(len(q), np.uint8)
+        fp, node, seen = self.fp, self.root[q], np.zeros(len(q), np.int64)
         for depth, (first, count, pattern, mask, begin, end) in enumerate(self.levels):
-            seen = seen + np.bitwise_count((fp[q] ^ pattern[node]) & mask[node])
+            seen = seen + _differences((fp[q] ^ pattern[node]) & mask[node])
             same = np.minimum.reduceat(label, begin) == np.maximum.reduceat(label, begin)
             linked = same[node] & (label[begin[node]] == label[q])
             stay = (seen <= r) & (end[node] > q + 1) & ~linked
@@ -166,7 +184,7 @@ class GrayIndex:
             if depth == len(self.levels) - 1:
                 hit = (child > q) & (label[child] != label[q])
                 q, child = q[hit], child[hit]
-                near = np.bitwise_count(fp[q] ^ fp[child]) <= r
+                near = _differences(fp[q] ^ fp[child]) <= r
                 return q[near], child[near]
         raise AssertionError
 
@@ -220,6 +238,57 @@ def links(distinct: DataFrame, r: int = 4, bucket: int = BUCKET, group: int = GR
     return out.groupBy(F.pmod("grp", F.lit(buckets)).alias("bucket")).applyInPandas(forest, "a long, b long")
 
 
+def band_links(distinct: DataFrame, parts: int, r: int, band: int = BAND, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
+    """A spanning forest (a, b) over ids (id) of pairs of wide fingerprints within ``r`` bits that agree on a band.
+
+    Every number of the fingerprint gives as many bands of ``band`` bits as it holds. A band value of
+    very many fingerprints is divided into blocks, and all pairs of its blocks are searched.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, parts))]
+    cuts = [(n, k) for n in names for k in range(BITS // band)]
+    value = F.array(*(F.xxhash64(F.lit(i), F.shiftrightunsigned(n, band * k).bitwiseAND(F.lit((1 << band) - 1))) for i, (n, k) in enumerate(cuts)))
+    rows = distinct.select("id", *names, F.explode(value).alias("grp"))
+    sizes = rows.groupBy("grp").count().filter(F.col("count") > group)
+    if sizes.isEmpty():
+        rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+    else:
+        rows = rows.join(sizes.select("grp", F.ceil(F.col("count") / group).cast("int").alias("blocks")), "grp", "left").fillna(1, ["blocks"])
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    rows = rows.select("id", *names, F.xxhash64("grp", "lo", "hi").alias("grp"))
+    buckets = max(1, -(-distinct.count() * len(cuts) // bucket))
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        to = GrayIndex(pdf["grp"].to_numpy(), pdf[names].to_numpy().astype(np.int64).view(np.uint64)).forest(r)
+        moved = np.flatnonzero(to != np.arange(len(to)))
+        return pd.DataFrame({"a": ids[moved], "b": ids[to[moved]]})
+
+    return rows.groupBy(F.pmod("grp", F.lit(buckets)).alias("bucket")).applyInPandas(forest, "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, parts: int = 4, r: int = 44) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group, the one of smallest doc_id stays.
+
+    Near copies have about ``similarity`` 0.8 of their word shingles in common. A fingerprint of 256
+    bits tells that: two texts of Jaccard similarity J differ in a share of arccos(2J / (1 + J)) / pi of
+    them, 38 bits for 0.8, give or take 6. Candidates agree on one of 20 bands of 12 bits, which at
+    that similarity all but one pair in twenty do, and nearly every pair that is closer.
+
+    All columns stay. Of rows that repeat one id and text, one stays; a null id counts as the largest.
+    """
+    own = materialize(fingerprints(docs, width, parts), "fingerprints")
+    names = [c for c in own.columns if c not in ("doc_id", "hash")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")).alias("least")
+    distinct = materialize(own.groupBy(*names).agg(first).withColumn("id", F.monotonically_increasing_id()), "distinct")
+    classes = connected_components(band_links(distinct, parts, r)).select(F.col("node").alias("id"), "component")
+    classed = distinct.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    stay = classed.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_hash"))
+    marked = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
+    marked = marked.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return marked.dropDuplicates(["_own", "_text"]).drop("_own", "_text")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, r: int = 4) -> DataFrame:
     """doc_id, fp and component_id of every row: the smallest doc_id reachable over links of at most ``r`` bits.
 
@@ -227,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, r: int = 4) -> DataFrame:
     documents of their own. Where a component has no doc_id but null, its component_id is null. An
     empty table gives no rows; further columns of ``docs`` are ignored.
     """
-    own = materialize(fingerprints(docs, width), "fingerprints")
+    own = materialize(fingerprints(docs, width).drop("hash"), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     classes = connected_components(links(distinct, r)).select(F.col("node").alias("fp"), "component")
     classed = distinct.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
