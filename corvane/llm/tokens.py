@@ -17,17 +17,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corvane.llm.anchors import Ranges
+from corvane.llm.common import splitmix
+
 #: Appended to each document.
 END_ID = 2
-#: Units kept by a worker; when more were met, it starts anew. Bounds its memory, changes no result.
-CACHE_UNITS = 1_500_000
+#: Units kept by a worker, at about 40 bytes each; when there are more, the half that wasn't met for
+#: the longest time goes. Bounds memory, changes no result.
+CACHE_UNITS = 3_000_000
 _WHITE = r"[\s\v\x{1c}-\x{1f}\x{85}\pZ]"
 _UNSURE = rf"{_WHITE} (?:{_WHITE}|\z)| \z|\x{{0}}"
 _NEWLINE = re.compile(r"(?<=\S)(\n)(?=\S)")
 #: Leads the first unit of a text, which has no space before it.
 _FIRST = "\x00"
 
-_cache: dict[str, dict[str, bytes]] = {}
+_cache: dict[str, Units] = {}
 _loaded: dict[str, object] = {}
 
 
@@ -67,8 +71,60 @@ def _encode_lines(path: str, units: list[str]) -> dict[str, bytes]:
     return out
 
 
-def _learn(path: str, known: dict[str, bytes], new: list[str]) -> None:
-    """Add new units to ``known``, whose keys are units without their leading space, or with the mark of a first one."""
+def _hashes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string, of 64 and 32 bits."""
+    _, offsets, data = strings.buffers()
+    cuts = np.frombuffer(offsets, "<i4")[strings.offset : strings.offset + len(strings) + 1]
+    raw = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.empty(0, np.uint8)
+    cuts = cuts.astype(np.int64) - int(cuts[0])
+    n = (cuts[1:] - cuts[:-1]).astype(np.uint64)
+    one, two = (splitmix(Ranges(code[raw]).hash(cuts[:-1], cuts[1:]) + n) for code in _CODES)
+    return one, (two >> np.uint64(32)).astype(np.uint32)
+
+
+_CODES = [splitmix(np.arange(256, dtype=np.uint64) + np.uint64(salt)) for salt in (0x1DEA, 0x7A11)]
+
+
+class Units:
+    """The ids of units met so far: a sorted table of hashes, and all ids one after another."""
+
+    def __init__(self):
+        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint32)
+        self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.used, self.ids = np.empty(0, np.int32), np.empty(0, np.uint32)
+        self.turn = 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table, and whether each unit is there."""
+        if not len(self.key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        order = np.argsort(key)
+        at = np.empty(len(key), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.key, key[order]), len(self.key) - 1)
+        return at, (self.key[at] == key) & (self.check[at] == check)
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: list[bytes]) -> None:
+        if len(self.key) + len(key) > CACHE_UNITS:
+            self._forget()
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        begin = (len(self.ids) + np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        order = np.argsort(key)
+        at = np.searchsorted(self.key, key[order])
+        fresh = {"key": key, "check": check, "begin": begin, "size": size, "used": np.full(len(key), self.turn, np.int32)}
+        for name, x in fresh.items():
+            setattr(self, name, np.insert(getattr(self, name), at, x[order]))
+
+    def _forget(self) -> None:
+        stay = (self.used > np.median(self.used)) | (self.used == self.turn) if len(self.used) else np.empty(0, bool)
+        size = self.size[stay]
+        begin = np.cumsum(size, dtype=np.int64) - size
+        self.ids = self.ids[np.repeat(self.begin[stay].astype(np.int64) - begin, size) + np.arange(int(size.sum()))]
+        self.key, self.check, self.used, self.size, self.begin = self.key[stay], self.check[stay], self.used[stay], size, begin.astype(np.int32)
+
+
+def _learn(path: str, new: list[str]) -> list[bytes]:
+    """Ids of units, each given without its leading space, or with the mark of a first one."""
     lines: set[str] = set()
     other: set[str] = set()
     cut: dict[str, list[str]] = {}
@@ -81,8 +137,7 @@ def _learn(path: str, known: dict[str, bytes], new: list[str]) -> None:
                 (lines if p.isprintable() and p != " " and " " not in p[1:] else other).add(p)
     found = _encode_lines(path, list(lines)) if lines else {}
     found |= {p: x.tobytes() for p, x in zip(other, encode_plain(path, list(other)), strict=True)}
-    for u in new:
-        known[u] = b"".join([found[p] for p in cut[u]]) if u in cut else found[" " + u]
+    return [b"".join([found[p] for p in cut[u]]) if u in cut else found[" " + u] for u in new]
 
 
 def encode(path: str, texts: pa.Array, end: int | None = END_ID) -> list[np.ndarray]:
@@ -92,9 +147,8 @@ def encode(path: str, texts: pa.Array, end: int | None = END_ID) -> list[np.ndar
         texts = texts.combine_chunks()
     if not len(texts):
         return []
-    known = _cache.setdefault(path, {})
-    if len(known) > CACHE_UNITS:
-        known.clear()
+    known = _cache.setdefault(path, Units())
+    known.turn += 1
     whole = pc.match_substring_regex(texts, _UNSURE)
     for special in load(path).get_added_tokens_decoder().values():
         whole = pc.or_(whole, pc.match_substring(texts, special.content))
@@ -105,21 +159,23 @@ def encode(path: str, texts: pa.Array, end: int | None = END_ID) -> list[np.ndar
         texts_cut = texts
     split = pc.split_pattern(pc.binary_join_element_wise(_FIRST, texts_cut, ""), " ")
     units = split.flatten().dictionary_encode()
-    names = units.dictionary.to_pylist()
-    got = list(map(known.get, names))
-    if None in got:
-        _learn(path, known, [u for u, g in zip(names, got, strict=True) if g is None])
-        got = list(map(known.__getitem__, names))
-    got.append(b"" if end is None else np.array([end], "<u4").tobytes())
-    flat = np.frombuffer(b"".join(got), "<u4")
-    sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-    begin = np.cumsum(sizes) - sizes
-    offsets = split.offsets.to_numpy().astype(np.int64)
-    offsets -= offsets[0]
-    index = np.insert(units.indices.to_numpy().astype(np.int64), offsets[1:], len(got) - 1)
-    offsets += np.arange(len(offsets))
+    key, check = _hashes(units.dictionary)
+    at, met = known.find(key, check)
+    if not met.all():
+        new = np.flatnonzero(~met)
+        known.used[at[met]] = known.turn
+        known.add(key[new], check[new], _learn(path, units.dictionary.take(pa.array(new)).to_pylist()))
+        at, met = known.find(key, check)
+    known.used[at] = known.turn
+    sizes = np.append(known.size[at], 0 if end is None else 1)
+    begin = np.append(known.begin[at], len(known.ids)).astype(np.int64)
+    flat = known.ids if end is None else np.append(known.ids, np.uint32(end))
+    offsets = split.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    index = np.insert(units.indices.to_numpy(), offsets[1:], len(sizes) - 1)
+    offsets = offsets + np.arange(len(offsets))
     n = sizes[index]
-    ends = np.cumsum(n)
+    ends = np.cumsum(n, dtype=np.int64)
     ids = flat[np.repeat(begin[index] - (ends - n), n) + np.arange(int(ends[-1]))]
     cuts = np.concatenate([[0], ends])[offsets]
     out = [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
