@@ -17,7 +17,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows in one rank bucket of a source, on average.
@@ -47,45 +46,38 @@ def schedule(parts: Mapping[str, int], sources: list[str | None], default: int)
     return [(s, n, [t for t, k in enumerate(order) if k == key], [order[:t].count(key) for t in range(len(order))], len(order)) for key, (s, n) in named.items()]
 
 
-def mix(docs: DataFrame, parts: Mapping[str, int], default: int = 1, block: int = 64, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``block``, ``slot`` and ``position`` (from 0, gapless) to every row of ``docs``.
+def mix(docs: DataFrame, parts: Mapping[str, int], default: int = 1, block: int = 64, rows_per_bucket: int = ROWS_PER_BUCKET, names: tuple[str, str, str] = ("block", "slot", "position")) -> DataFrame:
+    """Add block, slot and position (from 0, gapless) to every row of ``docs``, under ``names``.
 
     ``parts`` holds whole weights by source; ``default`` is that of others, a null source included.
     The number of sources is small by nature; their names and row counts are gathered, no rows.
     Within a source, rows go by the md5 of doc_id, then by doc_id; null ids come last. Repeated rows
-    keep their own places. Columns named like the three new ones are replaced.
+    keep their own places. Columns named like the three new ones are replaced; others pass through.
     """
     spark = docs.sparkSession
-    docs = docs.drop("block", "slot", "position")
+    docs = docs.drop(*names)
     counts = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return docs.select("*", *(F.lit(0).cast("long").alias(c) for c in ("block", "slot", "position")))
+        return docs.select("*", *(F.lit(0).cast("long").alias(c) for c in names))
     bits = max(0, min(28, (max(counts.values()) // rows_per_bucket).bit_length()))
     plan = schedule(parts, sorted(counts, key=lambda s: (s is not None, s or "")), default)
     period = plan[0][-1]
-    blocks = {s: -(-n // block) for s, n in counts.items()}
-    # Per source: its slots; and for each slot of the period, what the others have had before it.
-    sources = spark.createDataFrame([(s, n, slots, blocks[s]) for s, n, slots, _, _ in plan], "source string, _n int, _slots array<int>, _blocks long")
+    sources = spark.createDataFrame([(s, n, slots) for s, n, slots, _, _ in plan], "__s string, __n int, __slots array<int>")
 
     key = F.md5(F.col("doc_id").cast("string"))
-    rows = docs.withColumn("_key", key).withColumn("_bucket", F.coalesce(F.conv(F.substring("_key", 1, 7), 16, 10).cast("long") / F.lit(1 << (28 - bits)), F.lit(1 << bits)).cast("long"))
-    sizes = rows.groupBy("source", "_bucket").agg(F.count("*").alias("_size"))
-    ahead = sizes.withColumn("_ahead", F.sum("_size").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce("_ahead", F.lit(0)).alias("_ahead"))
-    within = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(F.col("_key").asc_nulls_last(), "doc_id")) - 1
-    ranked = rows.withColumn("_rank", within).join(ahead, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left").withColumn("_rank", F.col("_rank") + F.col("_ahead"))
-    placed = ranked.join(F.broadcast(sources.withColumnRenamed("source", "_src")), F.col("source").eqNullSafe(F.col("_src")))  # one row per source
-    j = F.floor(F.col("_rank") / block)
-    placed = placed.withColumn("block", j.cast("long"))
-    turn, step = F.floor(F.col("block") / F.col("_n")), F.col("block") % F.col("_n")
-    placed = placed.withColumn("slot", (turn * period + F.element_at("_slots", (step + 1).cast("int"))).cast("long"))
+    rows = docs.withColumn("__key", key).withColumn("__bucket", F.coalesce(F.conv(F.substring("__key", 1, 7), 16, 10).cast("long") / F.lit(1 << (28 - bits)), F.lit(1 << bits)).cast("long"))
+    sizes = rows.groupBy(F.col("source").alias("__s"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__size"))
+    ahead = sizes.select("__s", "__b", F.coalesce(F.sum("__size").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    within = F.row_number().over(Window.partitionBy("source", "__bucket").orderBy(F.col("__key").asc_nulls_last(), "doc_id")) - 1
+    ranked = rows.withColumn("__within", within).join(ahead, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b"))).withColumn("__rank", F.col("__within") + F.col("__ahead")).drop("__s")
+    placed = ranked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("__s")))  # one row per source
+    placed = placed.withColumn("__block", F.floor(F.col("__rank") / block).cast("long"))
+    turn, step = F.floor(F.col("__block") / F.col("__n")), F.col("__block") % F.col("__n")
+    placed = placed.withColumn("__slot", (turn * period + F.element_at("__slots", (step + 1).cast("int"))).cast("long"))
     # Rows before this slot: whole blocks of each source, its last block being shorter.
     before = F.lit(0).cast("long")
     for s, n, _, seen, _ in plan:
-        had = F.floor(F.col("slot") / period) * n + F.element_at(F.array(*map(F.lit, seen)), (F.col("slot") % period + 1).cast("int"))
+        had = F.floor(F.col("__slot") / period) * n + F.element_at(F.array(*map(F.lit, seen)), (F.col("__slot") % period + 1).cast("int"))
         before = before + F.least(had * block, F.lit(counts[s])).cast("long")
-    placed = placed.withColumn("position", (before + F.col("_rank") % block).cast("long"))
-    return placed.select(*docs.columns, "block", "slot", "position")
-
-
-def positions_type() -> T.StructType:
-    return T.StructType([T.StructField(c, T.LongType()) for c in ("block", "slot", "position")])
+    position = (before + F.col("__rank") % block).cast("long")
+    return placed.select(*docs.columns, F.col("__block").alias(names[0]), F.col("__slot").alias(names[1]), position.alias(names[2]))

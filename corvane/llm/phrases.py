@@ -176,11 +176,16 @@ def remove_from(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A text that loses words keeps the others by one space each. No row goes; other columns stay.
     """
-    carry = tuple(c for c in docs.columns if c != "doc_id")
-    out = dedup(docs.withColumn("doc_id", F.col("doc_id").cast("long")), window, carry)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = out.withColumn("_text", text).withColumn("text", F.col("_text"))
-    if "n_chars" in carry:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    safe = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column can clash with the operator's own
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(n) for c, n in safe.items()))
+    out = dedup(plain, window, tuple(safe.values()))
+    lost = F.col("n_removed") > 0
+    columns = []
+    for field in docs.schema.fields:
+        own = F.col(safe[field.name])
+        if field.name == "text":
+            own = F.when(lost, F.col("kept")).otherwise(own)
+        elif field.name == "n_chars":
+            own = F.when(lost, F.length("kept").cast(field.dataType)).otherwise(own)
+        columns.append(own.alias(field.name))
+    return out.select(*columns)

@@ -284,9 +284,9 @@ def keep_one(docs: DataFrame, width: int = 5, parts: int = 4, r: int = 44) -> Da
     classes = connected_components(band_links(distinct, parts, r)).select(F.col("node").alias("id"), "component")
     classed = distinct.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stay = classed.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_hash"))
-    marked = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
-    marked = marked.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
-    return marked.dropDuplicates(["_own", "_text"]).drop("_own", "_text")
+    marked = docs.withColumns({"__own": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})
+    marked = marked.join(stay, F.col("__own").eqNullSafe(F.col("_id")) & (F.col("__text") == F.col("_hash")), "left_semi")
+    return marked.dropDuplicates(["__own", "__text"]).drop("__own", "__text")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, r: int = 4) -> DataFrame:

@@ -25,6 +25,7 @@ END_ID = 2
 #: Units kept by a worker, at about 40 bytes each; when there are more, the half that wasn't met for
 #: the longest time goes. Bounds memory, changes no result.
 CACHE_UNITS = 3_000_000
+_LINES = 2_000
 _WHITE = r"[\s\v\x{1c}-\x{1f}\x{85}\pZ]"
 _UNSURE = rf"{_WHITE} (?:{_WHITE}|\z)| \z|\x{{0}}"
 _NEWLINE = re.compile(r"(?<=\S)(\n)(?=\S)")
@@ -60,14 +61,18 @@ def encode_plain(path: str, texts: list[str]) -> list[np.ndarray]:
 def _encode_lines(path: str, units: list[str]) -> dict[str, bytes]:
     """Ids of units without white space but a leading space: lines of one text, as a lone line break is a token of its own."""
     newline = encode_plain(path, ["\n"])[0]
-    ids = encode_plain(path, ["\n".join(units) + "\n"])[0]
-    ends = np.flatnonzero(ids == newline[0]) if len(newline) == 1 else []
-    if len(ends) != len(units):
-        return {u: x.tobytes() for u, x in zip(units, encode_plain(path, units), strict=True)}
-    raw, out, at = ids.tobytes(), {}, 0
-    for u, end in zip(units, (4 * ends).tolist(), strict=True):
-        out[u] = raw[at:end]
-        at = end + 4
+    out: dict[str, bytes] = {}
+    for lo in range(0, len(units), _LINES):  # few at once: the library keeps far more per token than its id
+        some = units[lo : lo + _LINES]
+        ids = encode_plain(path, ["\n".join(some) + "\n"])[0]
+        ends = np.flatnonzero(ids == newline[0]) if len(newline) == 1 else []
+        if len(ends) != len(some):
+            out.update((u, x.tobytes()) for u, x in zip(some, encode_plain(path, some), strict=True))
+            continue
+        raw, at = ids.tobytes(), 0
+        for u, end in zip(some, (4 * ends).tolist(), strict=True):
+            out[u] = raw[at:end]
+            at = end + 4
     return out
 
 
