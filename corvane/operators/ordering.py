@@ -32,11 +32,13 @@ def greedy(vectors: np.ndarray, bpm: np.ndarray, hour: np.ndarray, weights: dict
     n = len(bpm)
     if not (np.isfinite(vectors).all() and np.isfinite(bpm).all()):
         raise ValueError("ordering needs finite vectors and tempos")
+    if not n:
+        return []
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = vectors / np.where(length == 0, 1.0, length)
     spread = float(np.ptp(bpm)) or 1.0
     left = np.ones(n, bool)
-    path = [int(bpm.argmin())] if n else []
+    path = [int(bpm.argmin())]
     for _ in range(n - 1):
         at = path[-1]
         left[at] = False
