@@ -107,3 +107,10 @@ def cluster_name(label: Column | str) -> Column:
     """Noise, or the label with two digits at least."""
     n = _c(label).cast("string")
     return F.when(_c(label) == -1, F.lit("Noise")).otherwise(F.concat(F.lit("Cluster_"), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)))
+
+
+def cluster_order(label: str) -> list[Column]:
+    """Sort keys: numbers by value, then other names, noise last."""
+    c = F.col(label)
+    noise, number = c.isin("-1", "Noise"), c.try_cast("int").isNotNull()
+    return [F.when(noise, 2).when(number, 0).otherwise(1), F.when(~noise & number, F.lpad(c, 6, "0")).otherwise(c)]

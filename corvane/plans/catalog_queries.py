@@ -220,3 +220,46 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").filter("user_id = 7").select("event_id", F.when((F.col("event_id") + 1) % 25 == 0, F.col("event_id")).alias("checkpoint"))
     return rows.withColumn("last_checkpoint", F.last("checkpoint", ignorenulls=True).over(Window.orderBy("event_id")))
+
+
+@query(with_sql("""SELECT t.vec_id, 'L' || label_l1 AS cluster_l1, COALESCE(NULLIF(CASE WHEN t.vec_id % 3 = 0 THEN NULL WHEN t.vec_id % 5 = 0 THEN '' ELSE 'L' || label_l1 || 'S' || label_l2 END, ''), 'L' || label_l1) AS cluster_l2,
+  CASE WHEN t.vec_id % 4 = 0 THEN 'Unknown' ELSE COALESCE(c.genre, 'Unknown') END AS folder FROM tracks t LEFT JOIN catalog c ON c.track_id = t.vec_id"""))
+def three_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tracks(spark, sf_dir)
+    l1 = t.select("vec_id", F.concat(F.lit("L"), F.col("label_l1").cast("string")).alias("cluster_l1"))
+    name = F.concat(F.lit("L"), F.col("label_l1").cast("string"), F.lit("S"), F.col("label_l2").cast("string"))
+    l2 = t.filter("vec_id % 3 <> 0").select("vec_id", F.when(F.col("vec_id") % 5 == 0, "").otherwise(name).alias("l2"))
+    final = catalog(spark, sf_dir).filter("track_id % 4 <> 0").select(F.col("track_id").alias("vec_id"), "genre")
+    joined = l1.join(l2, "vec_id", "left").join(final, "vec_id", "left")
+    return joined.select("vec_id", "cluster_l1", F.coalesce(F.nullif("l2", F.lit("")), "cluster_l1").alias("cluster_l2"), F.coalesce("genre", F.lit("Unknown")).alias("folder"))
+
+
+@query("""SELECT label, row_number() OVER (ORDER BY CASE WHEN label IN ('-1', 'Noise') THEN 2 WHEN TRY_CAST(label AS INTEGER) IS NOT NULL THEN 0 ELSE 1 END,
+  CASE WHEN label NOT IN ('-1', 'Noise') AND TRY_CAST(label AS INTEGER) IS NOT NULL THEN lpad(label, 6, '0') ELSE label END) AS place
+  FROM (SELECT DISTINCT CASE WHEN event_id % 7 = 0 THEN 'Noise' WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id % 23 - 1 AS VARCHAR) END AS label FROM events WHERE event_id < 900)""")
+def cluster_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    label = F.when(e % 7 == 0, F.lit("Noise")).when(e % 3 == 0, F.col("event_type")).otherwise((e % 23 - 1).cast("string")).alias("label")
+    return read(spark, sf_dir, "events").filter("event_id < 900").select(label).distinct().withColumn("place", F.row_number().over(Window.orderBy(*text.cluster_order("label"))).cast("long"))
+
+
+@query()
+def cluster_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.functions.colours import palette
+
+    letter = text.letters("label_l1")
+    rows = tracks(spark, sf_dir).select(letter.alias("cluster_l1"), F.concat(letter, F.col("label_l2").cast("string")).alias("cluster_l2"))
+    return palette(rows)
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts) AS start, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.window("ts", "6 hours")
+    return read(spark, sf_dir, "events").groupBy("event_type", w).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_ms")).select("event_type", F.col("window.start").alias("start"), "n", "mean_ms")
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+  FROM (SELECT *, COALESCE(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 4 HOURS, true) AS new FROM events)) GROUP BY user_id, s""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.session_window("ts", "4 hours")
+    return read(spark, sf_dir, "events").groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions import hashing, keys, segments, text, vectors
+from corvane.functions import colours, hashing, keys, segments, text, vectors
 
 
 def values(spark, rows, schema, *columns):
@@ -93,3 +93,21 @@ def test_segment_starts(spark):
     assert values(spark, [(1000, 80)], "n long, b long", segments.bar_starts(F.col("n"), F.col("b"))) == [[0, 5 * 80, 6 * 80, 11 * 80]]
     mode = segments.beat_mode(F.col("t"), F.col("b"), F.col("c"))
     assert values(spark, [(ticks, 120.0, None), (ticks, 120.0, 0.4), (ticks[:31], 120.0, 0.9), (ticks, None, 0.9)], "t array<double>, b double, c double", mode) == [True, False, False, False]
+
+
+def test_colours(spark):
+    import colorsys
+
+    def shade(base, index, total):
+        if total <= 1:
+            return base
+        r, g, b = (int(base[i : i + 2], 16) / 255 for i in (1, 3, 5))
+        h, light, s = colorsys.rgb_to_hls(r, g, b)
+        light = max(0.2, min(0.8, light + (index - 1) * 0.08 * (1 if index % 2 == 0 else -1)))
+        return "#" + "".join(f"{int(c * 255):02x}" for c in colorsys.hls_to_rgb((h + (index - 1) * 0.05) % 1.0, light, s))
+
+    cases = [(b, i, n) for b in (*colours.BASE.values(), colours.OTHER, "#000000", "#ffffff") for i, n in ((1, 1), (1, 3), (2, 3), (3, 3), (9, 9))]
+    got = values(spark, cases, "b string, i int, n int", colours.shaded(F.col("b"), F.col("i"), F.col("n")))
+    close = [sum(abs(int(a[k : k + 2], 16) - int(b[k : k + 2], 16)) for k in (1, 3, 5)) for a, b in zip(got, (shade(*c) for c in cases), strict=True)]
+    assert max(close) <= 1  # a channel right on a boundary may round the other way
+    assert values(spark, [("A",), ("ZZ",)], "l string", colours.base_colour(F.col("l"))) == ["#ab63fa", "#888888"]
