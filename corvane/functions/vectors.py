@@ -50,3 +50,9 @@ def cropped(v: Column | str, length: int) -> Column:
     """The first ``length`` elements, filled up with zeros."""
     v = _c(v)
     return F.concat(F.slice(v, 1, length), F.array_repeat(F.lit(0.0), F.greatest(F.lit(length) - F.size(v), F.lit(0))))
+
+
+def last_layers(layers: Column | str, n: int = 4) -> Column:
+    """Mean of the last ``n`` layers of an array of layer vectors."""
+    c = _c(layers)
+    return mono(F.slice(c, F.greatest(F.size(c) - n + 1, F.lit(1)), n))

@@ -110,6 +110,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def discover_datasets(spark: SparkSession, root: str, marker: str = "*.parquet") -> DataFrame:
+    """One column, ``dataset``: folders directly below ``root`` that hold a file like ``marker``, at any depth."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", marker).load(root).select("path")
+    base = root.removeprefix("file://").rstrip("/") + "/"
+    rest = F.substring_index("path", base, -1)
+    return files.select(F.substring_index(rest, "/", 1).alias("dataset")).distinct()
+
+
 def latest(files: DataFrame, name: str = "path", time: str = "modificationTime") -> DataFrame:
     """One row: the newest file of a listing."""
     return files.agg(F.max_by(name, F.struct(time, name)).alias(name))

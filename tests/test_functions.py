@@ -65,6 +65,8 @@ def test_vectors(spark):
     assert values(spark, [([1.0, float("nan")], [])], schema, vectors.finite("a")) == [False]
     assert values(spark, rows[:1], schema, vectors.cropped("a", 3)) == [[3.0, 4.0, 0.0]]
     assert values(spark, [([[1.0, 3.0], [3.0, 5.0]],)], "c array<array<double>>", vectors.mono("c")) == [[2.0, 4.0]]
+    layers = [[9.0, 9.0], [1.0, 3.0], [3.0, 5.0]]
+    assert values(spark, [(layers,), (layers[:1],)], "c array<array<double>>", vectors.last_layers("c", 2)) == [[2.0, 4.0], [9.0, 9.0]]
 
 
 def test_hashes(spark):

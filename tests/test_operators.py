@@ -273,3 +273,14 @@ def test_projection_head(spark):
     assert np.allclose([r["vector"] for r in small.apply(table(spark, x)).orderBy("id").collect()], small.forward(x))
     with pytest.raises(NotImplementedError):
         ContrastiveTrainer(head).train_epoch()
+
+
+def test_older_generations(spark):
+    x, truth = blobs(3, 14)
+    df = table(spark, x, label_l1=[int(t) for t in truth])
+    plane = L.level1_on_plane(df.select("id", "vector"), 4, 2).collect()
+    assert len(plane) == 42 and {"id", "label", "x", "y"} == set(plane[0].asDict())
+    out = L.level2_in_clusters(df.union(spark.createDataFrame([(99, [0.0] * 6, -1)], df.schema))).collect()
+    assert {r["composite"] for r in out if r["id"] == 99} == {"Noise"} and len(out) == 43
+    assert all(r["composite"][0] == "ABC"[truth[r["id"]]] for r in out if r["id"] != 99)
+    assert L.small_hdbscan(x[:2]).tolist() == [0, 0]

@@ -117,6 +117,14 @@ def test_latest(spark):
     assert files.latest(rows, time="mtime").first()[0] == "b"
 
 
+def test_discovery(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name / "features").mkdir(parents=True)
+        (tmp_path / name / "features" / "part.parquet").write_bytes(b"x")
+    (tmp_path / "three").mkdir()
+    assert sorted(r[0] for r in files.discover_datasets(spark, str(tmp_path)).collect()) == ["one", "two"]
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("PLACE", "/x")
     assert settings.expand({"a": ["${PLACE}/y", "${NOT_SET_ANYWHERE}"], "b": 3}) == {"a": ["/x/y", "${NOT_SET_ANYWHERE}"], "b": 3}
