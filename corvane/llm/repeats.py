@@ -1,16 +1,23 @@
 """Repeated windows of a corpus: the stages that byte-wise and word-wise substring dedup share.
 
-1. ``runs_of``: each text's runs of windows with one anchor (see ``anchors``).
-2. ``recurring``: runs grouped by anchor. Runs of equal context are copies of one another. Where an
-   anchor has several contexts, one run of each (its first) is left to be compared in detail.
-3. The operators compare those in detail, then apply all spans to the texts.
-
-The texts are shuffled once: both later stages read the same exchange, dealt by document.
+1. ``runs_of``: each text's runs of windows with one anchor (see ``anchors``). Runs that one batch of
+   texts holds many times are counted there: the first stands for all (``n``), the others are ``later``.
+2. ``recurring``: runs, without the later ones, grouped by anchor. Runs of equal context are copies of
+   one another. Where an anchor has several contexts, one run of each (its first) is left to be
+   compared in detail.
+3. ``later_copies`` finds the later ones again and joins them with what is known of their context.
+4. The operators compare in detail, then apply all spans to the texts.
+
+So a line that a third of all texts hold, or that fills long texts, reaches the grouping as a few rows
+per batch. An anchor that very many different contexts share is dealt over several tasks by context;
+its contexts are compared in any case. The texts themselves are shuffled once: later stages read the
+same exchange, dealt by document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +28,24 @@ from pyspark.sql.window import Window
 from corvane.llm.anchors import runs
 from corvane.llm.common import bounded_batches, materialize, spread
 
-RUN = "doc long, version long, first long, last long, anchor long, context long"
+RUN = "doc long, version long, first long, last long, anchor long, context long, n long, later boolean"
 NULL_ID = -(1 << 63)
+#: Equal runs of one batch from which on they are counted there.
+COUNTED = 8
+#: An anchor of more than one in so many runs is dealt by context, to so many tasks; there are fewer such anchors than that.
+HOT_SHARE, HOT_TASKS = 2_000, 64
+#: One in so many documents tells which anchors are hot. This deals rows out and changes no result.
+HOT_SAMPLE = 16
+
+
+@dataclass(frozen=True)
+class Kind:
+    """How texts are read: the units of texts and the number of units of each; window, k-gram and seed."""
+
+    split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    window: int
+    gram: int
+    seed: int
 
 
 def documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -40,39 +63,78 @@ def documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
-def runs_of(docs: DataFrame, split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], window: int, k: int, seed: int) -> DataFrame:
-    """All runs of all documents; ``split`` gives the units of texts and the number of units of each."""
+def _sources(docs: DataFrame) -> DataFrame:
+    slim = docs.select("doc", "version", "text")
+    if slim.filter("version <> 0").limit(1).count():
+        slim = slim.dropDuplicates(["doc", "version"])
+    return spread(slim, "doc")
+
+
+def runs_of(docs: DataFrame, kind: Kind) -> DataFrame:
+    """All runs of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, sizes = split([x or b"" for x in batch.column(2).to_pylist()])
-            r = runs(units, sizes, window, k, seed)
-            at = pa.array(r.text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.view(np.int64)) for x in (r.first, r.last, r.anchor, r.context))], ["doc", "version", "first", "last", "anchor", "context"])
+            units, sizes = kind.split([x or b"" for x in batch.column(2).to_pylist()])
+            r = runs(units, sizes, kind.window, kind.gram, kind.seed)
+            doc, version = (batch.column(i).to_numpy()[r.text] for i in (0, 1))
+            order = np.lexsort((r.first, version, doc, r.context, r.anchor))
+            anchor, context = r.anchor[order], r.context[order]
+            new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])) if len(order) else order
+            n = np.diff(np.append(new, len(order)))
+            count, later = np.ones(len(order), np.int64), np.zeros(len(order), bool)
+            many = n >= COUNTED
+            count[new[many]] = n[many]
+            later[np.flatnonzero(np.repeat(many, n))] = True
+            later[new] = False
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (doc[order], version[order], r.first[order], r.last[order], anchor.view(np.int64), context.view(np.int64), count)), pa.array(later)], ["doc", "version", "first", "last", "anchor", "context", "n", "later"])
+
+    return _sources(docs).mapInArrow(run, RUN)
+
+
+def hot_anchors(docs: DataFrame, kind: Kind) -> list[int]:
+    """Anchors with a large share of a sample's runs; fewer than ``HOT_SHARE``."""
+    sample = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(HOT_SAMPLE)) == 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, sizes = kind.split([x or b"" for x in batch.column(2).to_pylist()])
+            anchor, n = np.unique(runs(units, sizes, kind.window, kind.gram, kind.seed).anchor, return_counts=True)
+            some = n >= max(2, n.sum() / (2 * HOT_SHARE))  # a hot one is over half its share in most batches
+            yield pa.RecordBatch.from_arrays([pa.array([*anchor[some].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[some].tolist(), int(n.sum())], pa.int64())], ["anchor", "n"])
 
-    slim = docs.select("doc", "version", "text")
-    if slim.filter("version <> 0").limit(1).count():
-        slim = slim.dropDuplicates(["doc", "version"])
-    return spread(slim, "doc").mapInArrow(run, RUN)
+    sums = sample.select("doc", "version", "text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "anchors")
+    whole = sums.filter("anchor is null").agg(F.sum("n")).first()[0] or 0
+    return [r["anchor"] for r in sums.filter("anchor is not null").filter((F.col("n") * HOT_SHARE > whole) & (F.col("n") > 1)).collect()]
 
 
-def recurring(found: DataFrame) -> DataFrame:
+def recurring(docs: DataFrame, kind: Kind) -> DataFrame:
     """Runs that recur or must be compared, written out.
 
     Adds: ``copied``, whether the context occurs elsewhere; ``fdoc``, ``fversion``, ``ffirst``, its
     first occurrence; ``lead``, whether this is it; ``several``, whether the anchor has other contexts.
-    Grouping sorts by anchor and spills; one anchor has at most a few runs per document.
     """
-    of_anchor = Window.partitionBy("anchor").orderBy("context", "doc", "version", "first")
-    of_context = Window.partitionBy("anchor", "context").orderBy("doc", "version", "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("anchor")
+    hot = hot_anchors(docs, kind)
+    is_hot = F.col("anchor").isin(hot) if hot else F.lit(False)
+    found = runs_of(docs, kind).filter("not later").drop("later").withColumn("_task", F.when(is_hot, F.pmod("context", F.lit(HOT_TASKS))).otherwise(F.lit(0)))
+    of_anchor = Window.partitionBy("anchor", "_task").orderBy("context", "doc", "version", "first")
+    of_context = Window.partitionBy("anchor", "_task", "context").orderBy("doc", "version", "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("anchor", "_task")
     out = found.withColumn("_before", F.lag("context").over(of_anchor)).withColumn("_after", F.lead("context").over(of_anchor))
-    out = out.filter("_before is not null or _after is not null")  # anchors of one run: no repetition
+    out = out.filter(F.col("_before").isNotNull() | F.col("_after").isNotNull() | (F.col("n") > 1) | is_hot)  # else the anchor has one run: no repetition
     out = out.withColumns({f"f{c}": F.first(c).over(of_context) for c in ("doc", "version", "first")})
     out = out.withColumn("lead", F.col("_before").isNull() | (F.col("_before") != F.col("context")))
-    out = out.withColumn("copied", ~F.col("lead") | F.coalesce(F.col("_after") == F.col("context"), F.lit(False)))
-    out = out.withColumn("several", F.min("context").over(whole) != F.max("context").over(whole))
-    return materialize(out.filter("copied or several").drop("_before", "_after", "context"), "recurring")
+    out = out.withColumn("copied", ~F.col("lead") | (F.col("n") > 1) | F.coalesce(F.col("_after") == F.col("context"), F.lit(False)))
+    out = out.withColumn("several", is_hot | (F.min("context").over(whole) != F.max("context").over(whole)))
+    return materialize(out.filter("copied or several").drop("_before", "_after", "_task"), "recurring")
+
+
+def later_copies(docs: DataFrame, kind: Kind, found: DataFrame) -> DataFrame:
+    """The runs that were counted in their batches, with the first occurrence of their context. None is the first."""
+    known = found.filter("n > 1").select("anchor", "context", "fdoc", "fversion", "ffirst").distinct()
+    later = runs_of(docs, kind).filter("later").select("doc", "version", "first", "last", "anchor", "context")
+    return later.join(known, ["anchor", "context"]).select("doc", "version", "first", "last", "fdoc", "fversion", "ffirst")
 
 
 def dealt(docs: DataFrame) -> DataFrame:
