@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows in one rank bucket of a source, on average.
-ROWS_PER_BUCKET = 20_000
+#: Rows in one rank bucket of a source, at most on average; small, so that a hot source spreads over all tasks.
+ROWS_PER_BUCKET = 512
 
 
 def pfair_period(parts: Mapping[str, int]) -> list[str]:
