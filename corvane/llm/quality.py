@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import bounded_batches, spread
 
 #: Most labelled rows that are learned from; texts of the sample go to the driver.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 3_000
 #: Hashed features.
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -122,10 +122,11 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     """Fit on texts labelled 0 or 1; the same input gives the same model."""
     rng = np.random.default_rng(seed)
     bags = []
-    for at in range(0, len(texts), 256):
-        places, buckets = zip(*features(texts[at : at + 256])) if any(t.strip() for t in texts[at : at + 256]) else ((np.empty(0, int),), (np.empty(0, int),))
-        pair, n = np.unique(np.concatenate(places) * BUCKETS + np.concatenate(buckets), return_counts=True)
-        cuts = np.searchsorted(pair, np.arange(len(texts[at : at + 256]) + 1) * BUCKETS)
+    for at in range(0, len(texts), 16):  # few at once: features take far more memory than their texts
+        some = texts[at : at + 16]
+        pairs = [np.empty(0, np.int64), *(place * BUCKETS + bucket for place, bucket in features(some))]
+        pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+        cuts = np.searchsorted(pair, np.arange(len(some) + 1) * BUCKETS)
         bags += [((pair[a:b] % BUCKETS).astype(np.int32), (n[a:b] / max(1, n[a:b].sum())).astype(np.float32)) for a, b in zip(cuts, cuts[1:], strict=False)]
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = rng.uniform(-0.5, 0.5, (2, DIMENSIONS)).astype(np.float32), np.zeros(2, np.float32)
