@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python workers; bounds worker memory when texts are long.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Rows of one Arrow batch handed to Python workers.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
