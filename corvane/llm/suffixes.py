@@ -26,9 +26,9 @@ from corvane.llm.repeats import NULL_ID, Kind, dealt, documents, later_copies, r
 
 WINDOW, GRAM, SEED = 200, 32, 2
 #: Regions gathered in one task's suffix array, on average.
-REGIONS = 12_000
+REGIONS = 6_000
 #: An anchor of more regions isn't gathered in one task.
-HOT_REGIONS = 24_000
+HOT_REGIONS = 4_000
 KEEP_FIRST, KEEP_NONE = "first", "none"
 
 
