@@ -45,8 +45,8 @@ def _key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(f.select((F.col("track_id") - 1).alias("track_id"), F.col("key").alias("key_b")), "track_id")
 
 
-@query(with_sql("""SELECT a.track_id, CASE WHEN ha.camelot = '?' OR hb.camelot = '?' THEN 0.5 ELSE
-  CASE WHEN x = y THEN 1.0 WHEN least(abs(x - y), 12 - abs(x - y)) = 1 THEN 0.5 ELSE 0.0 END END AS score
+@query(with_sql("""SELECT a.track_id, CAST(CASE WHEN ha.camelot = '?' OR hb.camelot = '?' THEN 0.5 ELSE
+  CASE WHEN x = y THEN 1.0 WHEN least(abs(x - y), 12 - abs(x - y)) = 1 THEN 0.5 ELSE 0.0 END END AS DOUBLE) AS score
   FROM features a JOIN features b ON b.track_id = a.track_id + 1 JOIN hours ha ON ha.key = a.key JOIN hours hb ON hb.key = b.key,
   LATERAL (SELECT TRY_CAST(ha.camelot[:-2] AS INTEGER) AS x, TRY_CAST(hb.camelot[:-2] AS INTEGER) AS y)""", _HOUR_SQL))
 def key_compat_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def key_compat_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RING_SQL = "ring AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in K.RING_PLACES.items()) + ") t(key, place))"
 
 
-@query(with_sql("""SELECT a.track_id, CASE WHEN ra.place IS NULL OR rb.place IS NULL THEN 0.0 WHEN d = 0 THEN 1.0 WHEN d = 1 THEN 0.5 ELSE 0.0 END AS score
+@query(with_sql("""SELECT a.track_id, CAST(CASE WHEN ra.place IS NULL OR rb.place IS NULL THEN 0.0 WHEN d = 0 THEN 1.0 WHEN d = 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
   FROM features a JOIN features b ON b.track_id = a.track_id + 1 LEFT JOIN ring ra ON ra.key = a.key LEFT JOIN ring rb ON rb.key = b.key,
   LATERAL (SELECT least(abs(ra.place % 12 - rb.place % 12), 12 - abs(ra.place % 12 - rb.place % 12)) AS d)""", _RING_SQL))
 def key_compat_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
