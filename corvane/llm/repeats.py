@@ -34,6 +34,8 @@ NULL_ID = -(1 << 63)
 COUNTED = 8
 #: An anchor of more than one in so many runs is dealt by context, to so many tasks; there are fewer such anchors than that.
 HOT_SHARE, HOT_TASKS = 2_000, 64
+#: Parts in which counted runs of one context meet what is known of it.
+LATER_PARTS = 32
 #: One in so many documents tells which anchors are hot. This deals rows out and changes no result.
 HOT_SAMPLE = 16
 
@@ -133,8 +135,10 @@ def recurring(docs: DataFrame, kind: Kind) -> DataFrame:
 def later_copies(docs: DataFrame, kind: Kind, found: DataFrame) -> DataFrame:
     """The runs that were counted in their batches, with the first occurrence of their context. None is the first."""
     known = found.filter("n > 1").select("anchor", "context", "fdoc", "fversion", "ffirst").distinct()
-    later = runs_of(docs, kind).filter("later").select("doc", "version", "first", "last", "anchor", "context")
-    return later.join(known, ["anchor", "context"]).select("doc", "version", "first", "last", "fdoc", "fversion", "ffirst")
+    known = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(LATER_PARTS - 1))))
+    part = F.pmod(F.xxhash64("doc", "first"), F.lit(LATER_PARTS)).cast("int")
+    later = runs_of(docs, kind).filter("later").withColumn("_part", part).select("doc", "version", "first", "last", "anchor", "context", "_part")
+    return later.join(known, ["anchor", "context", "_part"]).select("doc", "version", "first", "last", "fdoc", "fversion", "ffirst")
 
 
 def dealt(docs: DataFrame) -> DataFrame:
