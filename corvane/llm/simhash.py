@@ -36,29 +36,42 @@ BUCKET = 40_000
 GROUP = 16_384
 #: Bits fixed after which a group isn't divided any more: 2^20 fingerprints at most are left.
 FIXED = 44
-#: Bits in a band of a wide fingerprint.
-BAND = 12
+#: Bits in a band of a wide fingerprint, and how often its bits are dealt anew to bands.
+BAND, DEALS = 11, 2
+#: Texts are near copies from this share of their distinct shingles on: (4, 5) is 0.8.
+SIMILAR = (4, 5)
+#: Texts and shingles of a block of candidates that are compared exactly.
+BLOCK_TEXTS, BLOCK_SHINGLES = 4_000, 2_000_000
 #: Search states held at once.
 _STATES = 1 << 20
 
 
-def fingerprint(text: bytes, width: int = 4, parts: int = 1) -> np.ndarray:
-    """The SimHash of a text's word shingles; words are runs free of ASCII white space, A-Z lower-cased.
-
-    ``parts`` 64-bit numbers: the first from the shingles' own hashes, further ones from those scrambled.
-    """
+def shingles(text: bytes, width: int = 4) -> np.ndarray:
+    """Hashes of a text's word shingles, with repeats; words are runs free of ASCII white space, A-Z lower-cased."""
     words = text.lower().split()
     if not words:
-        return np.zeros(parts, np.uint64)
+        return np.empty(0, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[:n].tolist(), (ends[width - 1 :] if len(words) >= width else ends[-1:]).tolist(), strict=True)
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n)
-    out = np.empty(parts, np.uint64)
-    for part in range(parts):
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n)
+
+
+def fingerprint(text: bytes, width: int = 4, parts: int = 1) -> np.ndarray:
+    """The SimHash of a text's word shingles.
+
+    ``parts`` 64-bit numbers: the first from the shingles' own hashes, further ones from those scrambled.
+    """
+    return _fingerprint_of(shingles(text, width), parts)
+
+
+def _fingerprint_of(h: np.ndarray, parts: int) -> np.ndarray:
+    n = len(h)
+    out = np.zeros(parts, np.uint64)
+    for part in range(parts if n else 0):
         ones = np.zeros(BITS, np.int64)
         for at in range(0, n, 1 << 16):
             some = h[at : at + (1 << 16)]
@@ -83,6 +96,22 @@ def fingerprints(docs: DataFrame, width: int = 4, parts: int = 1) -> DataFrame:
     return spread(slim, "doc_id").mapInArrow(run, ", ".join(["doc_id long", "hash long", *(f"{n} long" for n in names)]))
 
 
+def set_fingerprints(docs: DataFrame, width: int, parts: int) -> DataFrame:
+    """doc_id, hash (of the text), shingle_set (a hash of the distinct shingles), size (their number) and fp, fp1, ... of those, of every row."""
+    bounded_batches(docs.sparkSession)
+    names = ["fp", *(f"fp{k}" for k in range(1, parts))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(x or b"", width)) for x in batch.column(2).to_pylist()]
+            fp = np.array([_fingerprint_of(x, parts) for x in sets], np.uint64).reshape(-1, parts).view(np.int64)
+            whole = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(fp[:, k]) for k in range(parts))], ["doc_id", "hash", "shingle_set", "size", *names])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    return spread(slim, "doc_id").mapInArrow(run, ", ".join(["doc_id long", "hash long", "shingle_set long", "size long", *(f"{n} long" for n in names)]))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each code word in Gray order; words of several numbers are read one after another."""
     x = x.copy()
@@ -238,16 +267,30 @@ def links(distinct: DataFrame, r: int = 4, bucket: int = BUCKET, group: int = GR
     return out.groupBy(F.pmod("grp", F.lit(buckets)).alias("bucket")).applyInPandas(forest, "a long, b long")
 
 
-def band_links(distinct: DataFrame, parts: int, r: int, band: int = BAND, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
+def _bands(parts: int, band: int, deals: int) -> np.ndarray:
+    """The bits of each band: every deal shuffles all bits and cuts them into bands."""
+    rng, bits = np.random.default_rng(SEED), BITS * parts
+    return np.concatenate([rng.permutation(bits)[: bits // band * band].reshape(-1, band) for _ in range(deals)])
+
+
+def band_links(distinct: DataFrame, parts: int, r: int, band: int = BAND, deals: int = DEALS, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
     """A spanning forest (a, b) over ids (id) of pairs of wide fingerprints within ``r`` bits that agree on a band.
 
-    Every number of the fingerprint gives as many bands of ``band`` bits as it holds. A band value of
-    very many fingerprints is divided into blocks, and all pairs of its blocks are searched.
+    Bands are ``band`` bits from anywhere in the fingerprint. A band value of very many fingerprints is
+    divided into blocks, and all pairs of its blocks are searched.
     """
     names = ["fp", *(f"fp{k}" for k in range(1, parts))]
-    cuts = [(n, k) for n in names for k in range(BITS // band)]
-    value = F.array(*(F.xxhash64(F.lit(i), F.shiftrightunsigned(n, band * k).bitwiseAND(F.lit((1 << band) - 1))) for i, (n, k) in enumerate(cuts)))
-    rows = distinct.select("id", *names, F.explode(value).alias("grp"))
+    cuts = _bands(parts, band, deals)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.stack([batch.column(k + 1).to_numpy() for k in range(parts)], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+            value = bits[:, cuts].astype(np.int64) @ (1 << np.arange(band)) + (np.arange(len(cuts)) << band)
+            row = pa.array(np.repeat(np.arange(len(fp)), len(cuts)))
+            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns), pa.array(value.ravel())], ["id", *names, "grp"])
+
+    rows = distinct.select("id", *names).mapInArrow(deal, ", ".join(f"{c} long" for c in ("id", *names, "grp")))
     sizes = rows.groupBy("grp").count().filter(F.col("count") > group)
     if sizes.isEmpty():
         rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
@@ -267,21 +310,83 @@ def band_links(distinct: DataFrame, parts: int, r: int, band: int = BAND, bucket
     return rows.groupBy(F.pmod("grp", F.lit(buckets)).alias("bucket")).applyInPandas(forest, "a long, b long")
 
 
-def keep_one(docs: DataFrame, width: int = 5, parts: int = 4, r: int = 44) -> DataFrame:
+def similar_forest(sets: list[np.ndarray], fp: np.ndarray, r: int) -> np.ndarray:
+    """For each set the smallest index of its class over pairs within ``r`` bits whose Jaccard similarity is ``SIMILAR`` or more."""
+    label, size = np.arange(len(sets)), np.array([len(x) for x in sets])
+    part, whole = SIMILAR
+    for i in range(1, len(sets)):
+        bits = _differences(fp[:i] ^ fp[i])
+        near = np.flatnonzero((bits <= r) & (np.minimum(size[:i], size[i]) * whole >= np.maximum(size[:i], size[i]) * part))
+        near = near[np.argsort(bits[near], kind="stable")]
+        while len(near):
+            j, near = near[0], near[1:]
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * whole >= (size[i] + size[j] - both) * part:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label[label == old] = new
+                near = near[label[near] != label[i]]
+    return label
+
+
+def similar_links(docs: DataFrame, candidates: DataFrame, width: int, parts: int, r: int, texts: int = BLOCK_TEXTS, total: int = BLOCK_SHINGLES) -> DataFrame:
+    """A spanning forest (a, b) over ids of the pairs of one component whose distinct shingles are similar.
+
+    ``candidates`` has id, component, size, the fingerprint and the text's key (least). A component of
+    very many texts or shingles is divided into blocks, and all pairs of its blocks are compared.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, parts))]
+    sizes = candidates.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / texts), F.ceil(F.sum("size") / total), F.lit(1)).cast("int").alias("blocks"))
+    rows = candidates.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    amount = rows.agg(F.sum(F.col("size") * F.greatest(F.lit(1), F.col("blocks") - 1))).first()[0] or 0
+    buckets = max(1, -(-amount // total))
+    keys = rows.select("id", "component", "own", other.alias("other"), *names, F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_hash"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"))
+    found = slim.join(keys, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).dropDuplicates(["id"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(x or b"", width)).tobytes() for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *batch.columns[1:]], ["sets", *batch.schema.names[1:]])
+
+    longs = ["id", "component", *names]
+    rows = found.select("text", *longs, "own", "other").mapInArrow(cut, ", ".join(["sets binary", *(f"{c} long" for c in longs), "own int", "other array<int>"]))
+    rows = rows.withColumn("other", F.explode("other"))
+    rows = rows.select("sets", "id", *names, F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, one in pdf.groupby("unit", sort=False):
+            ids = one["id"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in one["sets"]]
+            to = similar_forest(sets, one[names].to_numpy().astype(np.int64).view(np.uint64), r)
+            moved = np.flatnonzero(to != np.arange(len(to)))
+            a.append(ids[moved])
+            b.append(ids[to[moved]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return rows.groupBy(F.pmod("unit", F.lit(buckets)).alias("bucket")).applyInPandas(forest, "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, parts: int = 4, r: int = 68) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group, the one of smallest doc_id stays.
 
-    Near copies have about ``similarity`` 0.8 of their word shingles in common. A fingerprint of 256
-    bits tells that: two texts of Jaccard similarity J differ in a share of arccos(2J / (1 + J)) / pi of
-    them, 38 bits for 0.8, give or take 6. Candidates agree on one of 20 bands of 12 bits, which at
-    that similarity all but one pair in twenty do, and nearly every pair that is closer.
+    Near copies have a Jaccard similarity of 0.8 or more of their distinct word shingles; groups are
+    chains of them. Fingerprints of 256 bits only find candidates: at similarity J two texts differ in
+    a share of about arccos(2J / (1 + J)) / pi of the bits, 39 give or take 6 for 0.8, and up to 48 if
+    they have only a few shingles. Candidates are within ``r`` bits and agree on one of 46 bands of 11
+    bits, which at that similarity 99.9 % of pairs do (99 % of those of a few shingles). Within each
+    component of candidates the shingles themselves are then compared, so no pair below 0.8 links.
 
     All columns stay. Of rows that repeat one id and text, one stays; a null id counts as the largest.
     """
-    own = materialize(fingerprints(docs, width, parts), "fingerprints")
+    own = materialize(set_fingerprints(docs, width, parts), "fingerprints")
     names = [c for c in own.columns if c not in ("doc_id", "hash")]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")).alias("least")
     distinct = materialize(own.groupBy(*names).agg(first).withColumn("id", F.monotonically_increasing_id()), "distinct")
-    classes = connected_components(band_links(distinct, parts, r)).select(F.col("node").alias("id"), "component")
+    rough = connected_components(band_links(distinct, parts, r)).select(F.col("node").alias("id"), "component")
+    candidates = materialize(distinct.join(rough, "id"), "candidates")
+    classes = connected_components(similar_links(docs, candidates, width, parts, r)).select(F.col("node").alias("id"), "component")
     classed = distinct.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stay = classed.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_hash"))
     marked = docs.withColumns({"__own": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})

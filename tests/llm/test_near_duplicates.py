@@ -108,6 +108,43 @@ def test_near_copies_of_long_texts_go_and_others_stay(spark):
     assert {10 * i for i in range(40)} <= ids and len(ids & {10 * i + 1 for i in range(40)}) <= 2
 
 
+def shingle_set(text: str) -> frozenset:
+    words = text.split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    """Pairs at Jaccard 0.8 go, those just below stay; a line that both repeat counts once."""
+    rng = random.Random(6)
+    rows, expected = [], set()
+    for i in range(240):
+        size = (40, 90, 200)[i % 3]
+        text = [f"w{rng.randrange(50000)}" for _ in range(size + 4)]  # size distinct shingles
+        line = ["again", "and", "again", f"l{i}"] * 50 if i % 4 == 3 else []
+        n = len(shingle_set(" ".join(text + line)))
+        most = (n // 9 if i % 2 else n // 7 + 1)  # x of n differ at one end: (n - x) / (n + x) is 0.8 at n / 9, 0.75 at n / 7
+        other = [f"o{rng.randrange(50000)}" for _ in range(most)] + text[most:]
+        rows += [(2 * i, " ".join(text + line)), (2 * i + 1, " ".join(other + line))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        expected |= {2 * i} if len(a & b) * 5 >= len(a | b) * 4 else {2 * i, 2 * i + 1}
+    assert 300 < len(expected) < 420
+    ids = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert expected <= ids and len(ids - expected) <= 1
+
+
+def test_divided_candidates_are_all_compared():
+    """One unit gives the classes of brute force over exact similarity."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, (4, 60), dtype=np.uint64)
+    sets = []
+    for i in range(80):
+        x = base[i % 4].copy()
+        x[rng.choice(60, rng.integers(0, 14), replace=False)] = rng.integers(0, 1 << 63, dtype=np.uint64)
+        sets.append(np.unique(x))
+    links = [(i, j) for i in range(80) for j in range(i) if 5 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 4 * len(set(sets[i].tolist()) | set(sets[j].tolist()))]
+    assert simhash.similar_forest(sets, np.zeros((80, 4), np.uint64), 0).tolist() == classes(80, links)
+
+
 def test_empty_tables(spark, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
