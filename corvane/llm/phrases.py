@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from corvane.llm.anchors import Ranges, word_units
 from corvane.llm.common import splitmix
-from corvane.llm.repeats import NULL_ID, Kind, dealt, documents, later_copies, recurring, with_spans
+from corvane.llm.repeats import NULL_ID, Kind, dealt, documents, later_copies, recurring, runs_of, with_spans
 
 WINDOW, GRAM, SEED = 20, 4, 1
 #: Windows in one pattern; longer passages become several that cover the same windows.
@@ -59,17 +59,18 @@ def _single_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
 def confirmed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The dealt documents, and the recurring passages that aren't the first of their kind.
 
-    A passage: doc, version, first and last window; fdoc, fversion, ffirst: its first occurrence.
+    A passage: doc, version, first and last window; fdoc, fversion, ffirst: an earlier occurrence, mostly the first.
     """
     kind = Kind(_split, window, gram, SEED)
-    found = recurring(docs, kind)
+    every = runs_of(docs, kind)
+    found = recurring(docs, kind, every)
     texts = dealt(docs)
     order = Window.partitionBy("anchor", "hash").orderBy("doc", "version", "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     single = _single_windows(texts, found.filter("lead and several"), window)
     single = single.withColumns({f"f{c}": F.first(c).over(order) for c in ("doc", "version", "first")}).withColumn("last", F.col("first"))
     columns = ("doc", "version", "first", "last", "fdoc", "fversion", "ffirst")
     single = single.filter("doc <> fdoc or version <> fversion or first <> ffirst").select(*columns)
-    return texts, found.filter("not lead").select(*columns).unionByName(later_copies(docs, kind, found).select(*columns)).unionByName(single)
+    return texts, found.filter("not lead").select(*columns).unionByName(later_copies(every).select(*columns)).unionByName(single)
 
 
 def _passages(spans: list[dict]) -> Iterator[tuple[int, int, int, int, int]]:

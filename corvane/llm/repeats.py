@@ -5,7 +5,8 @@
 2. ``recurring``: runs, without the later ones, grouped by anchor. Runs of equal context are copies of
    one another. Where an anchor has several contexts, one run of each (its first) is left to be
    compared in detail.
-3. ``later_copies`` finds the later ones again and joins them with what is known of their context.
+3. ``later_copies`` gives the later ones with the first of their batch, which is an earlier copy. Which
+   run is a later one depends on the batch, so both stages read the runs from one written table.
 4. The operators compare in detail, then apply all spans to the texts.
 
 So a line that a third of all texts hold, or that fills long texts, reaches the grouping as a few rows
@@ -28,14 +29,12 @@ from pyspark.sql.window import Window
 from corvane.llm.anchors import runs
 from corvane.llm.common import bounded_batches, materialize, spread
 
-RUN = "doc long, version long, first long, last long, anchor long, context long, n long, later boolean"
+RUN = "doc long, version long, first long, last long, anchor long, context long, n long, later boolean, fdoc long, fversion long, ffirst long"
 NULL_ID = -(1 << 63)
 #: Equal runs of one batch from which on they are counted there.
 COUNTED = 8
 #: An anchor of more than one in so many runs is dealt by context, to so many tasks; there are fewer such anchors than that.
 HOT_SHARE, HOT_TASKS = 2_000, 64
-#: Parts in which counted runs of one context meet what is known of it.
-LATER_PARTS = 32
 #: One in so many documents tells which anchors are hot. This deals rows out and changes no result.
 HOT_SAMPLE = 16
 
@@ -73,7 +72,7 @@ def _sources(docs: DataFrame) -> DataFrame:
 
 
 def runs_of(docs: DataFrame, kind: Kind) -> DataFrame:
-    """All runs of all documents."""
+    """All runs of all documents, written out: batches, and with them ``later``, may differ when made again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,9 +88,12 @@ def runs_of(docs: DataFrame, kind: Kind) -> DataFrame:
             count[new[many]] = n[many]
             later[np.flatnonzero(np.repeat(many, n))] = True
             later[new] = False
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (doc[order], version[order], r.first[order], r.last[order], anchor.view(np.int64), context.view(np.int64), count)), pa.array(later)], ["doc", "version", "first", "last", "anchor", "context", "n", "later"])
+            doc, version, first = doc[order], version[order], r.first[order]
+            of = np.repeat(new, n)
+            earlier = [pa.array(x[of], mask=~later) for x in (doc, version, first)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (doc, version, first, r.last[order], anchor.view(np.int64), context.view(np.int64), count)), pa.array(later), *earlier], ["doc", "version", "first", "last", "anchor", "context", "n", "later", "fdoc", "fversion", "ffirst"])
 
-    return _sources(docs).mapInArrow(run, RUN)
+    return materialize(_sources(docs).mapInArrow(run, RUN), "runs")
 
 
 def hot_anchors(docs: DataFrame, kind: Kind) -> list[int]:
@@ -111,15 +113,15 @@ def hot_anchors(docs: DataFrame, kind: Kind) -> list[int]:
     return [r["anchor"] for r in sums.filter("anchor is not null").filter((F.col("n") * HOT_SHARE > whole) & (F.col("n") > 1)).collect()]
 
 
-def recurring(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Runs that recur or must be compared, written out.
+def recurring(docs: DataFrame, kind: Kind, every: DataFrame) -> DataFrame:
+    """Of ``every`` run of the documents, those that recur or must be compared, written out.
 
     Adds: ``copied``, whether the context occurs elsewhere; ``fdoc``, ``fversion``, ``ffirst``, its
     first occurrence; ``lead``, whether this is it; ``several``, whether the anchor has other contexts.
     """
     hot = hot_anchors(docs, kind)
     is_hot = F.col("anchor").isin(hot) if hot else F.lit(False)
-    found = runs_of(docs, kind).filter("not later").drop("later").withColumn("_task", F.when(is_hot, F.pmod("context", F.lit(HOT_TASKS))).otherwise(F.lit(0)))
+    found = every.filter("not later").drop("later", "fdoc", "fversion", "ffirst").withColumn("_task", F.when(is_hot, F.pmod("context", F.lit(HOT_TASKS))).otherwise(F.lit(0)))
     of_anchor = Window.partitionBy("anchor", "_task").orderBy("context", "doc", "version", "first")
     of_context = Window.partitionBy("anchor", "_task", "context").orderBy("doc", "version", "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("anchor", "_task")
@@ -132,13 +134,9 @@ def recurring(docs: DataFrame, kind: Kind) -> DataFrame:
     return materialize(out.filter("copied or several").drop("_before", "_after", "_task"), "recurring")
 
 
-def later_copies(docs: DataFrame, kind: Kind, found: DataFrame) -> DataFrame:
-    """The runs that were counted in their batches, with the first occurrence of their context. None is the first."""
-    known = found.filter("n > 1").select("anchor", "context", "fdoc", "fversion", "ffirst").distinct()
-    known = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(LATER_PARTS - 1))))
-    part = F.pmod(F.xxhash64("doc", "first"), F.lit(LATER_PARTS)).cast("int")
-    later = runs_of(docs, kind).filter("later").withColumn("_part", part).select("doc", "version", "first", "last", "anchor", "context", "_part")
-    return later.join(known, ["anchor", "context", "_part"]).select("doc", "version", "first", "last", "fdoc", "fversion", "ffirst")
+def later_copies(every: DataFrame) -> DataFrame:
+    """The runs that were counted in their batches, with an earlier occurrence of their context."""
+    return every.filter("later").select("doc", "version", "first", "last", "fdoc", "fversion", "ffirst")
 
 
 def dealt(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.anchors import Ranges, bytes_units
 from corvane.llm.common import splitmix
-from corvane.llm.repeats import NULL_ID, Kind, dealt, documents, later_copies, recurring, with_spans
+from corvane.llm.repeats import NULL_ID, Kind, dealt, documents, later_copies, recurring, runs_of, with_spans
 
 WINDOW, GRAM, SEED = 200, 32, 2
 #: Regions gathered in one task's suffix array, on average.
@@ -203,10 +203,11 @@ def _hashed(docs: DataFrame, found: DataFrame, window: int, keep: str) -> DataFr
 def spans_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = KEEP_FIRST, hot: int = HOT_REGIONS) -> tuple[DataFrame, DataFrame]:
     """The dealt documents, and the spans (doc, version, first and last window) whose bytes go."""
     kind = Kind(_split, window, gram, SEED)
-    found = recurring(docs, kind)
+    every = runs_of(docs, kind)
+    found = recurring(docs, kind, every)
     texts = dealt(docs)
     columns = ("doc", "version", "first", "last")
-    spans = found.filter("copied and not lead" if keep == KEEP_FIRST else "copied").select(*columns).unionByName(later_copies(docs, kind, found).select(*columns))
+    spans = found.filter("copied and not lead" if keep == KEEP_FIRST else "copied").select(*columns).unionByName(later_copies(every).select(*columns))
     # copies of one context fare alike; where none stays, contexts that recur are settled already, but others must see them
     compared = found.filter("lead and several")
     sizes = compared.groupBy("anchor").count()

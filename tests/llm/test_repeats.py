@@ -85,6 +85,29 @@ def test_words_of_few_kinds(spark, seed, monkeypatch):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == sorted(expected)
 
 
+@pytest.mark.parametrize("operator", ["words", "bytes"])
+def test_counted_runs_survive_other_batches(spark, operator, monkeypatch):
+    """Texts that share a batch when they are first read, and not when they are read again."""
+    calls = []
+
+    def otherwise(df, *keys):
+        calls.append(keys)
+        return df.coalesce(1) if len(calls) == 1 else df.repartition(40, *keys)
+
+    monkeypatch.setattr(repeats, "spread", otherwise)
+    rng = random.Random(5)
+    line = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(15))} {line} {' '.join(f'w{rng.randrange(10**6)}' for _ in range(15))}") for i in range(14)] + [(20 + i, line) for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if operator == "words":
+        expected = {k: n for k, _, n, _ in slow_words(rows, 20)}
+        out = phrases.dedup(docs).collect()
+    else:
+        expected = {k: n for k, _, n, _, _ in slow_bytes([(k, t.encode()) for k, t in rows], 50, suffixes.KEEP_NONE)}
+        out = suffixes.dedup(docs, window=50, keep=suffixes.KEEP_NONE).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == expected
+
+
 def test_patterns_are_sharded(monkeypatch):
     monkeypatch.setattr(phrases, "SHARD_CHARS", 50)
     monkeypatch.setattr(phrases, "PATTERN_WINDOWS", 3)
