@@ -104,8 +104,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, prefix: int = P
     links, forest = None, None
     for size, points in sample.items():
         n = min(MAX_PIVOTS, max(MIN_PIVOTS, largest * prefix // list_rows))
-        lists = _lists(classes.filter(F.size("embedding") == size), choose_pivots(points, n), prefix, block_rows)
-        found = _search(lists, threshold, min(shared, prefix))
+        pivots = choose_pivots(points, n)
+        lists = _lists(classes.filter(F.size("embedding") == size), pivots, prefix, block_rows)
+        found = _search(lists, threshold, min(shared, prefix, len(pivots)))
         links = found if links is None else links.unionByName(found)
     if links is None:
         links = spark.createDataFrame([], "cid long, n long, to long")

@@ -165,6 +165,13 @@ def usable(v) -> bool:
     return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
+def test_pivots_of_one_direction_link(spark):
+    """With the query's own parameters: where all vectors point one way there is one pivot to share."""
+    rows = [(1, [1.0, 2.0], 0), (2, [2.0, 4.0], 0), (3, [0.5, 1.0], 1), *((10 + i, [float(i == k) for k in range(6)], 0) for i in range(6))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), threshold=0.93).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)} | {10 + i: (0, 10 + i) for i in range(6)}
+
+
 def test_pivots_against_brute_force(spark):
     rows, df = vectors_table(spark)
     n = len(rows)
