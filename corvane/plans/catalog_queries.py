@@ -89,9 +89,18 @@ def stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS track_uid, sha256(substr(text, 1, 64) || CAST(strlen(text) AS VARCHAR)) AS fast_uid, sha1(source || '/' || doc_id) AS track_id, substr(md5(text), 1, 8) AS config_hash FROM documents WHERE regexp_full_match(substr(text, 1, 64), '[\\x00-\\x7F]*')")
 def track_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uids(read(spark, sf_dir, "documents").filter(F.substring("text", 1, 64).rlike(r"^[\x00-\x7F]*$")))
+
+
+@query()
+def track_uids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, whatever it opens with; a test compares it with brute force."""
+    return _uids(read(spark, sf_dir, "documents"))
+
+
+def _uids(docs: DataFrame) -> DataFrame:
     from corvane.functions import hashing as H
 
-    docs = read(spark, sf_dir, "documents").filter(F.substring("text", 1, 64).rlike(r"^[\x00-\x7F]*$"))
     body = F.col("text").cast("binary")
     return docs.select("doc_id", H.track_uid(body).alias("track_uid"), H.fast_track_uid(body, 64).alias("fast_uid"), H.track_id(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))).alias("track_id"), F.substring(F.md5("text"), 1, 8).alias("config_hash"))
 

@@ -284,3 +284,18 @@ def test_older_generations(spark):
     assert {r["composite"] for r in out if r["id"] == 99} == {"Noise"} and len(out) == 43
     assert all(r["composite"][0] == "ABC"[truth[r["id"]]] for r in out if r["id"] != 99)
     assert L.small_hdbscan(x[:2]).tolist() == [0, 0]
+
+
+def test_every_document_has_its_uids(spark):
+    import hashlib
+
+    from corvane.plans.catalog_queries import track_uids_all
+
+    root = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "source").collect()
+    expected = {}
+    for doc, text, source in rows:
+        b = text.encode()
+        expected[doc] = (hashlib.sha256(b).hexdigest(), hashlib.sha256(b[:64] + str(len(b)).encode()).hexdigest(), hashlib.sha1(f"{source}/{doc}".encode()).hexdigest(), hashlib.md5(b).hexdigest()[:8])
+    assert any(not r["text"][:64].isascii() for r in rows)
+    assert {r["doc_id"]: tuple(r)[1:] for r in track_uids_all(spark, root).collect()} == expected
