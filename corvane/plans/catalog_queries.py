@@ -227,8 +227,14 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, checkpoint, last_value(checkpoint IGNORE NULLS) OVER (ORDER BY event_id) AS last_checkpoint FROM (SELECT event_id, CASE WHEN (event_id + 1) % 25 = 0 THEN event_id END AS checkpoint FROM events WHERE user_id = 7)")
 def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").filter("user_id = 7").select("event_id", F.when((F.col("event_id") + 1) % 25 == 0, F.col("event_id")).alias("checkpoint"))
-    return rows.withColumn("last_checkpoint", F.last("checkpoint", ignorenulls=True).over(Window.orderBy("event_id")))
+    return checkpoint_marks_all(spark, sf_dir).filter("user_id = 7").drop("user_id")
+
+
+@query("SELECT user_id, event_id, checkpoint, last_value(checkpoint IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS last_checkpoint FROM (SELECT user_id, event_id, CASE WHEN (event_id + 1) % 25 = 0 THEN event_id END AS checkpoint FROM events)")
+def checkpoint_marks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every user."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.when((F.col("event_id") + 1) % 25 == 0, F.col("event_id")).alias("checkpoint"))
+    return rows.withColumn("last_checkpoint", F.last("checkpoint", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("event_id")))
 
 
 @query(with_sql("""SELECT t.vec_id, 'L' || label_l1 AS cluster_l1, COALESCE(NULLIF(CASE WHEN t.vec_id % 3 = 0 THEN NULL WHEN t.vec_id % 5 = 0 THEN '' ELSE 'L' || label_l1 || 'S' || label_l2 END, ''), 'L' || label_l1) AS cluster_l2,
@@ -247,9 +253,21 @@ def three_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN label NOT IN ('-1', 'Noise') AND TRY_CAST(label AS INTEGER) IS NOT NULL THEN lpad(label, 6, '0') ELSE label END) AS place
   FROM (SELECT DISTINCT CASE WHEN event_id % 7 = 0 THEN 'Noise' WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id % 23 - 1 AS VARCHAR) END AS label FROM events WHERE event_id < 900)""")
 def cluster_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sorted_labels(read(spark, sf_dir, "events").filter("event_id < 900"))
+
+
+@query("""SELECT label, row_number() OVER (ORDER BY CASE WHEN label IN ('-1', 'Noise') THEN 2 WHEN TRY_CAST(label AS INTEGER) IS NOT NULL THEN 0 ELSE 1 END,
+  CASE WHEN label NOT IN ('-1', 'Noise') AND TRY_CAST(label AS INTEGER) IS NOT NULL THEN lpad(label, 6, '0') ELSE label END) AS place
+  FROM (SELECT DISTINCT CASE WHEN event_id % 7 = 0 THEN 'Noise' WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id % 23 - 1 AS VARCHAR) END AS label FROM events)""")
+def cluster_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every event."""
+    return _sorted_labels(read(spark, sf_dir, "events"))
+
+
+def _sorted_labels(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     label = F.when(e % 7 == 0, F.lit("Noise")).when(e % 3 == 0, F.col("event_type")).otherwise((e % 23 - 1).cast("string")).alias("label")
-    return read(spark, sf_dir, "events").filter("event_id < 900").select(label).distinct().withColumn("place", F.row_number().over(Window.orderBy(*text.cluster_order("label"))).cast("long"))
+    return events.select(label).distinct().withColumn("place", F.row_number().over(Window.orderBy(*text.cluster_order("label"))).cast("long"))
 
 
 @query()

@@ -299,3 +299,20 @@ def test_every_document_has_its_uids(spark):
         expected[doc] = (hashlib.sha256(b).hexdigest(), hashlib.sha256(b[:64] + str(len(b)).encode()).hexdigest(), hashlib.sha1(f"{source}/{doc}".encode()).hexdigest(), hashlib.md5(b).hexdigest()[:8])
     assert any(not r["text"][:64].isascii() for r in rows)
     assert {r["doc_id"]: tuple(r)[1:] for r in track_uids_all(spark, root).collect()} == expected
+
+
+def test_marks_and_labels_come_from_all_events(spark, tmp_path):
+    from datetime import datetime
+
+    from corvane.plans.catalog_queries import checkpoint_marks_all, cluster_sort_all
+
+    rows = [(i, i % 3 + 6, "late" if i > 900 else "early", datetime(2024, 1, 1)) for i in range(990)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    last, expected = {}, set()
+    for event, user, *_ in rows:
+        mark = event if (event + 1) % 25 == 0 else None
+        last[user] = event if mark is not None else last.get(user)
+        expected.add((user, event, mark, last[user]))
+    assert {tuple(r) for r in checkpoint_marks_all(spark, str(tmp_path)).collect()} == expected
+    labels = [r["label"] for r in cluster_sort_all(spark, str(tmp_path)).orderBy("place").collect()]
+    assert {"early", "late", "Noise"} < set(labels) and len(labels) == len(set(labels)) == 26
