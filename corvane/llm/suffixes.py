@@ -4,7 +4,7 @@ Regions that may repeat are found by anchors over the whole corpus and gathered
 gathered text a suffix array is built. In suffix order, the nearest neighbours of smaller position
 are the best earlier matches of a suffix: the longer of the two is its longest previous factor. A
 window whose factor is a full window long is a later copy; the first one has none. For the policy
-that no copy stays, the neighbour of larger position counts as well.
+that no copy stays, a window goes if a neighbour in suffix order equals it; factors aren't needed.
 
 Regions that are equal throughout are one text here, with the number of its copies.
 """
