@@ -48,13 +48,13 @@ class Ranges:
 
 @dataclass
 class Runs:
-    """Runs of windows with one anchor: first and last window start, and two independent hashes."""
+    """Runs of windows with one anchor: first and last window start, the anchor's hash and place."""
 
     text: np.ndarray
     first: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
-    context: np.ndarray  # of all units that the run's windows cover
+    place: np.ndarray  # of the anchor, in the text
 
 
 def runs(units: np.ndarray, sizes: np.ndarray, window: int, k: int, seed: int) -> Runs:
@@ -70,14 +70,14 @@ def runs(units: np.ndarray, sizes: np.ndarray, window: int, k: int, seed: int) -
                 for at in range(0, int(sizes[lo]) - window + 1, CHUNK - window + 1):
                     piece = units[base + at : min(base + at + CHUNK, int(ends[lo]))]
                     found = _runs(piece, np.array([len(piece)]), window, k, seed)
-                    parts.append((found[0] + lo, found[1] + at, found[2] + at, *found[3:]))
+                    parts.append((found[0] + lo, found[1] + at, found[2] + at, found[3], found[4] + at))
             else:
                 found = _runs(units[base : int(ends[hi - 1])], sizes[lo:hi], window, k, seed)
                 parts.append((found[0] + lo, *found[1:]))
         lo = hi
     if not parts:
         e = np.empty(0, np.int64)
-        return Runs(e, e, e, e.view(np.uint64), e.view(np.uint64))
+        return Runs(e, e, e, e.view(np.uint64), e)
     return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
@@ -85,11 +85,11 @@ def _runs(units: np.ndarray, sizes: np.ndarray, window: int, k: int, seed: int)
     n = len(units)
     if n < window:
         e = np.empty(0, np.int64)
-        return e, e, e, e.view(np.uint64), e.view(np.uint64)
+        return e, e, e, e.view(np.uint64), e
     ranges = Ranges(units)
     at = np.arange(n - k + 1)
     gram = splitmix((ranges.sums[k:] - ranges.sums[: n - k + 1]) * ranges.down[: n - k + 1] + np.uint64(seed))
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(max(n, CHUNK).bit_length())  # the same for all texts, or equal windows could rank grams differently
     low = (gram >> bits << bits) | at.astype(np.uint64)  # the place breaks ties: leftmost first
     span, have = window - k + 1, 1  # k-grams in a window
     while 2 * have <= span:
@@ -102,16 +102,14 @@ def _runs(units: np.ndarray, sizes: np.ndarray, window: int, k: int, seed: int)
     starts = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
     if not len(starts):
         e = np.empty(0, np.int64)
-        return e, e, e, e.view(np.uint64), e.view(np.uint64)
+        return e, e, e, e.view(np.uint64), e
     place = place[starts]
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])]))
     first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
     place = place[new]
     own = doc[first]
     begin = (np.cumsum(sizes) - sizes)[own]
-    context = splitmix(ranges.hash(first, last + window) + splitmix(((last - first) << 32 | (place - first)).astype(np.uint64)))
-    # the anchor's own hash is independent of the context's: another seed and another range
-    return own, first - begin, last - begin, splitmix(gram[place] ^ np.uint64(0x5DEECE66D)), context
+    return own, first - begin, last - begin, splitmix(gram[place] ^ np.uint64(0x5DEECE66D)), place - begin
 
 
 def bytes_units(data: bytes | np.ndarray) -> np.ndarray:

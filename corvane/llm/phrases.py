@@ -1,10 +1,14 @@
 """Word-wise substring dedup by repeated-phrase automata.
 
-A window is a number of consecutive words. Recurring passages are confirmed over the whole corpus
-first: runs of windows that occur more than once, each with its first occurrence; where passages
-overlap only in part, single windows. Then every group of documents gets Aho-Corasick automata,
-sharded to a bounded size, of the passages confirmed for it, and all its documents stream through
-them. Every occurrence but the first of a passage is removed.
+A window is a number of consecutive words. Regions that may repeat are found by anchors over the whole
+corpus and gathered by anchor (see ``repeats``); each gathering is a shard. In a shard, the passages
+that recur are confirmed and compiled into Aho-Corasick automata over words, and the regions that all
+documents have there stream through them. A match is an occurrence, word for word; nothing else is
+one. Of each passage the first occurrence in the corpus stays, and the words of the others go.
+
+A document reaches just the shards of its own anchors: equal windows have equal anchors, so no other
+shard has a passage that could match. Regions that are equal throughout stream once; the matches are
+those of all their occurrences.
 """
 
 from __future__ import annotations
@@ -14,123 +18,122 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from corvane.llm.anchors import Ranges, word_units
 from corvane.llm.common import splitmix
-from corvane.llm.repeats import NULL_ID, Kind, dealt, documents, later_copies, recurring, runs_of, with_spans
+from corvane.llm.repeats import NULL_ID, Kind, Units, covered, documents, judged, regions_of, stretches, with_spans
+from corvane.llm.repeats import occurrences as occurrences_of
 
 WINDOW, GRAM, SEED = 20, 4, 1
-#: Windows in one pattern; longer passages become several that cover the same windows.
-PATTERN_WINDOWS = 256
-#: Characters of the patterns of one automaton, and of the texts that share one: bound its memory.
-SHARD_CHARS, GROUP_CHARS = 1 << 20, 4 << 20
+#: Words of the passages of one automaton; bounds its memory.
+SHARD_WORDS = 200_000
 
 
-def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _split(texts: list[bytes]) -> Units:
     words = [t.split() for t in texts]
-    return word_units([w for ws in words for w in ws]), np.array([len(ws) for ws in words], np.int64)
+    every = [w for ws in words for w in ws]
+    size = np.fromiter(map(len, every), np.int64, len(every))
+    return Units(word_units(every), np.fromiter(map(len, words), np.int64, len(words)), b" ".join(every), np.concatenate([[0], np.cumsum(size + 1)]))
 
 
-def _single_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """The windows of runs that share an anchor with other contexts, each with its hash."""
+def passages(ids: np.ndarray, own: np.ndarray, starts: np.ndarray, copied: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
+    """Passages that recur, as ranges of ``ids``: the words of all regions, one region after another.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for doc, version, text, spans in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc", "version", "text", "spans")), strict=True):
-                ranges = Ranges(word_units(text.split()))
-                first = np.array([s["first"] for s in spans], np.int64)
-                n = np.array([s["last"] for s in spans], np.int64) - first + 1
-                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                anchor = np.repeat(np.array([s["anchor"] for s in spans], np.int64), n)
-                for col, x in zip(out, (np.full(len(at), doc), np.full(len(at), version), at, anchor, splitmix(ranges.hash(at, at + window)).view(np.int64)), strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in out], ["doc", "version", "first", "anchor", "hash"])
+    Windows begin at ``starts``, in regions ``own``; ``copied`` tells which regions occur elsewhere as
+    they are. Stretches of windows that no other region has are one passage; a window that several
+    regions have is one, taken from the first. Windows are told apart by a hash of their words, so a
+    passage may turn out not to recur when the automaton looks for it.
+    """
+    if not len(starts):
+        return
+    ranges = Ranges(splitmix(ids.astype(np.uint64)))
+    _, kind, n = np.unique(splitmix(ranges.hash(starts, starts + window)), return_inverse=True, return_counts=True)
+    first = np.full(len(n), len(starts))
+    np.minimum.at(first, kind, np.arange(len(starts)))
+    shared = n[kind] > 1
+    for at in starts[shared & (first[kind] == np.arange(len(starts)))].tolist():
+        yield at, at + window
+    alone = np.flatnonzero(~shared & copied[own])
+    if len(alone):
+        new = np.flatnonzero(np.concatenate([[True], (starts[alone[1:]] != starts[alone[:-1]] + 1)]))
+        for a, b in zip(starts[alone[new]].tolist(), starts[alone[np.append(new[1:], len(alone)) - 1]].tolist(), strict=True):
+            yield a, b + window
+
+
+def occurrences(ids: np.ndarray, found: Iterator[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per automaton the matches of its passages in ``ids``: number of the passage, first word, and end."""
+    text = tuple(ids.tolist())
+    shard, size = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
+
+    def matches() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        shard.make_automaton()
+        hits = [(number, end - words + 1, end + 1) for end, (number, words) in shard.iter(text)]
+        return tuple(np.array(hits, np.int64).reshape(-1, 3).T)
+
+    for number, (a, b) in enumerate(found):
+        shard.add_word(text[a:b], (number, b - a))
+        size += b - a
+        if size >= SHARD_WORDS:
+            yield matches()
+            shard, size = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
+    if size:
+        yield matches()
+
+
+def judge_regions(regions: list[bytes], copied: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows go of each region and of its copies, and where each region's windows begin. Regions come in the order of the corpus."""
+    words = [r.split() for r in regions]
+    numbers: dict[bytes, int] = {}
+    ids = np.array([numbers.setdefault(w, len(numbers) + 1) for ws in words for w in (*ws, b"")], np.int64)  # no word is empty: it divides regions
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    n = sizes - window + 1
+    begin = np.concatenate([[0], np.cumsum(n)])
+    own = np.repeat(np.arange(len(n)), n)
+    base = np.cumsum(sizes + 1) - sizes - 1
+    starts = np.arange(len(own)) - begin[own] + base[own]
+    mine, others = (np.zeros(len(starts) + 1, np.int64) for _ in range(2))
+    for number, first, end in occurrences(ids, passages(ids, own, starts, copied, window)):
+        if not len(first):
+            continue
+        region = np.searchsorted(base, first, "right") - 1
+        a = begin[region] + first - base[region]  # the first window that the match covers
+        b = a + (end - first) - window + 1
+        again = np.ones(len(first), bool)
+        order = np.lexsort((first, number))
+        again[order[np.concatenate([[True], number[order[1:]] != number[order[:-1]]])]] = False  # the first of each passage
+        copies = copied[region]
+        for edge, some in ((mine, again), (others, copies)):
+            np.add.at(edge, a[some], 1)
+            np.add.at(edge, b[some], -1)
+    return np.cumsum(mine)[:-1] > 0, np.cumsum(others)[:-1] > 0, begin
 
-    joined = with_spans(docs, runs.select("doc", "version", "first", "last", "anchor"), "inner").select("doc", "version", "text", "spans")
-    return joined.mapInArrow(run, "doc long, version long, first long, anchor long, hash long")
 
+def _judge(window: int):
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine, others, begin = judge_regions(pdf["region"].tolist(), pdf["copied"].to_numpy(bool), window)
+        mine, others = stretches(mine, begin), stretches(others, begin)
+        some = [i for i, (a, b) in enumerate(zip(mine, others, strict=True)) if a or b]
+        return pd.DataFrame({**{c: pdf[c].to_numpy()[some] for c in ("anchor", "c1", "c2")}, "mine": [mine[i] for i in some], "others": [others[i] for i in some]})
 
-def confirmed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The dealt documents, and the recurring passages that aren't the first of their kind.
+    return judge
 
-    A passage: doc, version, first and last window; fdoc, fversion, ffirst: an earlier occurrence, mostly the first.
+
+def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """The dealt documents, and for each run with windows that go: doc, version, first, and those windows (``gone``).
+
+    Every occurrence of a region, in whatever document, gets the matches that the automata found in it.
     """
     kind = Kind(_split, window, gram, SEED)
-    every = runs_of(docs, kind)
-    found = recurring(docs, kind, every)
-    texts = dealt(docs)
-    order = Window.partitionBy("anchor", "hash").orderBy("doc", "version", "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    single = _single_windows(texts, found.filter("lead and several"), window)
-    single = single.withColumns({f"f{c}": F.first(c).over(order) for c in ("doc", "version", "first")}).withColumn("last", F.col("first"))
-    columns = ("doc", "version", "first", "last", "fdoc", "fversion", "ffirst")
-    single = single.filter("doc <> fdoc or version <> fversion or first <> ffirst").select(*columns)
-    return texts, found.filter("not lead").select(*columns).unionByName(later_copies(every).select(*columns)).unionByName(single)
-
-
-def _passages(spans: list[dict]) -> Iterator[tuple[int, int, int, int, int]]:
-    """Spans joined where they continue the same copy: first and last window, and the first occurrence."""
-    start = None
-    for s in sorted(spans, key=lambda s: (s["fdoc"], s["fversion"], s["ffirst"] - s["first"], s["first"])):
-        kind = (s["fdoc"], s["fversion"], s["ffirst"] - s["first"])
-        if start is not None and kind == now and s["first"] <= last + 1:
-            last = max(last, s["last"])
-            continue
-        if start is not None:
-            yield start, last, now[0], now[1], start + now[2]
-        start, last, now = s["first"], s["last"], kind
-    if start is not None:
-        yield start, last, now[0], now[1], start + now[2]
-
-
-class _Text:
-    """A document's words, as the automata see them: a space before, between and after."""
-
-    def __init__(self, text: bytes):
-        self.words = text.split()
-        self.stream = (b" " + b" ".join(self.words) + b" ").decode("latin-1")
-        n = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.begin = 1 + np.cumsum(n + 1) - (n + 1)  # of each word in the stream
-        self.gone = np.zeros(len(self.words) + 1, np.int64)
-
-    def slice(self, first: int, end: int) -> str:
-        return self.stream[self.begin[first] - 1 : self.begin[end] if end < len(self.words) else len(self.stream)]
-
-
-def remove_repeats(texts: list[bytes], keys: list[tuple[int, int]], spans: list[list[dict] | None], window: int = WINDOW) -> list[np.ndarray]:
-    """Which words of each text go. Automata of the confirmed passages of these texts run over all of them."""
-    made = [_Text(t) for t in texts]
-    patterns: dict[str, tuple[int, int, int, int]] = {}
-    for text, mine in zip(made, spans, strict=True):
-        for first, last, fdoc, fversion, ffirst in _passages(mine or []):
-            for at in range(first, last + 1, PATTERN_WINDOWS):
-                end = min(at + PATTERN_WINDOWS - 1, last) + window
-                pattern, value = text.slice(at, end), (end - at, fdoc, fversion, ffirst + at - first)
-                patterns[pattern] = min(value, patterns.get(pattern, value))  # the earliest that is known
-    shard, size = ahocorasick.Automaton(), 0
-    left = len(patterns)
-    for pattern, value in patterns.items():
-        shard.add_word(pattern, (len(pattern), *value))
-        size += len(pattern)
-        left -= 1
-        if size >= SHARD_CHARS or not left:
-            shard.make_automaton()
-            for text, key in zip(made, keys, strict=True):
-                hits = list(shard.iter(text.stream))
-                if not hits:
-                    continue
-                at = np.searchsorted(text.begin, np.array([end - v[0] + 2 for end, v in hits]))
-                for word, (_, v) in zip(at.tolist(), hits, strict=True):
-                    if (*key, word) > v[2:]:  # else it is the first, or settled by its own windows
-                        text.gone[word] += 1
-                        text.gone[word + v[1]] -= 1
-            shard, size = ahocorasick.Automaton(), 0
-    return [np.cumsum(t.gone)[:-1] > 0 for t in made]
+    texts, found = occurrences_of(docs, kind)
+    leads = found.filter("lead")
+    verdicts = judged(regions_of(texts, leads, kind), leads.count(), _judge(window), "anchor long, c1 long, c2 long, mine array<int>, others array<int>")
+    spans = found.join(verdicts, ["anchor", "c1", "c2"]).select("doc", "version", "first", F.when(F.col("lead"), F.col("mine")).otherwise(F.col("others")).alias("gone"))
+    return texts, spans.filter(F.size("gone") > 0)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -143,8 +146,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) ->
     window lose nothing. An empty table gives no rows.
     """
     source = documents(docs, carry)
-    texts, passages = confirmed(source, window)
-    joined = with_spans(texts, passages, "left")
+    texts, spans = marked(source, window)
+    joined = with_spans(texts, spans, "left")
     names = [f"_{c}" for c in carry]
     joined = joined.select("doc", "version", "text", "spans", *names)
     extra = [joined.schema[n] for n in names]
@@ -152,21 +155,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, versions, raw, spans = (batch.column(i).to_pylist() for i in range(4))
-            lo = 0
-            while lo < len(raw):
-                hi, size = lo, 0
-                while hi < len(raw) and (hi == lo or size + len(raw[hi]) < GROUP_CHARS):
-                    size += len(raw[hi])
-                    hi += 1
-                gone = remove_repeats(raw[lo:hi], list(zip(docs_[lo:hi], versions[lo:hi], strict=True)), spans[lo:hi], window)
-                kept = []
-                for text, g in zip(raw[lo:hi], gone, strict=True):
-                    words = text.split()
-                    kept.append(b" ".join([w for w, x in zip(words, g.tolist(), strict=True) if not x] if g.any() else words))
-                columns = [batch.column(0)[lo:hi], pa.array([len(g) for g in gone], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode("utf-8", "replace") for k in kept])]
-                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(4 + i)[lo:hi] for i in range(len(names)))], schema.names)
-                lo = hi
+            words = [text.split() for text in batch.column(2).to_pylist()]
+            gone = [covered(len(w), spans, window) for w, spans in zip(words, batch.column(3).to_pylist(), strict=True)]
+            kept = [b" ".join([w for w, x in zip(ws, g.tolist(), strict=True) if not x] if g.any() else ws) for ws, g in zip(words, gone, strict=True)]
+            columns = [batch.column(0), pa.array([len(g) for g in gone], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[4:]], schema.names)
 
     out = joined.mapInArrow(run, schema)
     doc_id = F.when(F.col("doc") != F.lit(NULL_ID), F.col("doc")).alias("doc_id")

@@ -1,12 +1,15 @@
-"""Byte-wise substring dedup by suffix arrays and longest-previous-factor arrays.
-
-Regions that may repeat are found by anchors over the whole corpus and gathered by anchor; in each
-gathered text a suffix array is built. In suffix order, the nearest neighbours of smaller position
-are the best earlier matches of a suffix: the longer of the two is its longest previous factor. A
-window whose factor is a full window long is a later copy; the first one has none. For the policy
-that no copy stays, a window goes if a neighbour in suffix order equals it; factors aren't needed.
-
-Regions that are equal throughout are one text here, with the number of its copies.
+"""Byte-wise substring dedup by longest-previous-factor arrays.
+
+Regions that may repeat are found by anchors over the whole corpus and gathered by anchor (see
+``repeats``); a task lays the regions of its anchors one after another, in the order of the corpus,
+and sorts the suffixes that start a window. In suffix order, the nearest neighbours of smaller
+position are the best earlier matches of a suffix: the longer of the two matches is its longest
+previous factor. A window goes as a later copy if its previous factor is a full window long. If no copy
+is to stay, the earlier matches of such a window go as well.
+
+Regions that are equal throughout are one region with its copies. For each copy, the region before it
+is a previous factor as long as itself, so the copies go whole, and with them the region if none is to
+stay; only regions that are alone at their anchor aren't compared further. All others are.
 """
 
 from __future__ import annotations
@@ -21,65 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.anchors import Ranges, bytes_units
-from corvane.llm.common import splitmix
-from corvane.llm.repeats import NULL_ID, Kind, dealt, documents, later_copies, recurring, runs_of, with_spans
+from corvane.llm.repeats import NULL_ID, Kind, Units, covered, documents, judged, occurrences, regions_of, stretches, with_spans
 
 WINDOW, GRAM, SEED = 200, 32, 2
-#: Regions gathered in one task's suffix array, on average.
-REGIONS = 6_000
-#: An anchor of more regions isn't gathered in one task.
-HOT_REGIONS = 4_000
 KEEP_FIRST, KEEP_NONE = "first", "none"
 
 
-def ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """(length, rank by the first ``length`` units) for growing lengths up to ``depth``; beyond the end counts as smallest.
-
-    Units are below 511. The shortest lengths are packed into one number, longer ones rank pairs of
-    shorter ranks, so the suffix array takes a sort for each doubling.
-    """
-    n = len(data)
-
-    def pair(rank: np.ndarray, step: int, room: int) -> np.ndarray:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:]
-        return rank * room + second
-
-    one = data.astype(np.int64) + 1
-    two = pair(one, 1, 512)
-    four = pair(two, 2, 1 << 18)
-    out = [(1, one), (2, two), (4, four)]
-    both, length = four * (1 << 27) + np.concatenate([(four >> 9)[4:], np.zeros(min(4, n), np.int64)]), 7
-    while True:
-        if length > depth:
-            both, length = [r for m, r in out if m <= depth][-1], max(m for m, _ in out if m <= depth)
-        order = np.argsort(both)
-        ahead = both[order]
-        new = np.concatenate([[1], (ahead[1:] != ahead[:-1]).astype(np.int64)]) if n else np.empty(0, np.int64)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        out.append((length, rank))
-        if length >= depth:
-            return out
-        step = min(length, depth - length)
-        both, length = pair(rank, step, n + 1), length + step
-
-
-def common_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of suffixes a[i] and b[i], up to the depth of the ranks."""
-    n = len(levels[0][1])
-    depth = levels[-1][0]
-    got = np.zeros(len(a), np.int64)
-    whole = levels[-1][1][a] == levels[-1][1][b]
-    for length, rank in reversed(levels[:-1]):
-        for _ in range(2):
-            x, y = a + got, b + got
-            inside = (np.maximum(x, y) < n) & (got + length <= depth)
-            same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-            got += np.where(same, length, 0)
-    return np.where(whole, np.minimum(depth, n - np.maximum(a, b)), np.minimum(got, n - np.maximum(a, b)))
-
-
 def previous_smaller(x: np.ndarray) -> np.ndarray:
     """For each place, the nearest place before it with a smaller value, or -1."""
     p = np.arange(-1, len(x) - 1)
@@ -93,15 +43,30 @@ def previous_smaller(x: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """The suffix array of a text, sorted as far as ``depth``, equal ones by position."""
+    """The suffixes of a text that start at ``at`` (ascending; all, if not given), sorted as far as ``depth``, equal ones by position.
 
-    def __init__(self, data: np.ndarray, depth: int):
-        self.levels = ranks(data, depth)
-        self.rank = self.levels[-1][1]
-        self.order = np.argsort(self.rank, kind="stable")
+    Suffixes are numbered by position. Those at ``at`` are at least as long as the depth; if all are
+    taken, the units are above zero, and beyond the end counts as smallest.
+    """
+
+    def __init__(self, data: np.ndarray, depth: int, at: np.ndarray | None = None):
+        self.depth, self.data, self.at = depth, data, at
+        if at is None:
+            self.data, self.at = np.concatenate([data, np.zeros(depth, data.dtype)]), np.arange(len(data))
+        text = self._of(self.at).view(f"S{depth * data.itemsize}").ravel()  # compared as bytes, all of them
+        self.order = np.argsort(text, kind="stable")
+        text = text[self.order]
+        self.rank = np.empty(len(text), np.int64)
+        self.rank[self.order] = np.cumsum(np.concatenate([[1], text[1:] != text[:-1]])) if len(text) else 0
+
+    def _of(self, at: np.ndarray) -> np.ndarray:
+        """The units from each position as far as the depth."""
+        if not len(at):
+            return np.empty((0, self.depth), self.data.dtype)
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.data, self.depth)[at])
 
     def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each position, its nearest neighbours of smaller position before and after it in suffix order, or -1."""
+        """For each suffix, its nearest neighbours of smaller position before and after it in suffix order, or -1."""
         order, n = self.order, len(self.order)
         before, after = previous_smaller(order), n - 1 - previous_smaller(order[::-1])[::-1]
         out = np.full((2, n), -1, np.int64)
@@ -111,118 +76,78 @@ class Suffixes:
         return out[0], out[1]
 
     def longest_previous_factor(self) -> np.ndarray:
-        """Per position, the longest match that starts earlier, up to the depth."""
+        """Per suffix, the longest match that starts earlier, up to the depth."""
         factor = np.zeros(len(self.order), np.int64)
         for at in self.neighbours():
             some = np.flatnonzero(at >= 0)
-            factor[some] = np.maximum(factor[some], common_prefix(self.levels, some, at[some]))
+            same = self._of(self.at[some]) == self._of(self.at[at[some]])
+            factor[some] = np.maximum(factor[some], np.where(same.all(axis=1), self.depth, same.argmin(axis=1)))
         return factor
 
     def copies(self, keep: str) -> np.ndarray:
-        """Positions whose suffix agrees to the full depth with an earlier one; with any other one, if no copy is kept."""
+        """Suffixes whose longest previous factor is as long as the depth; if no copy is kept, their earlier matches as well.
+
+        A match is as long as the depth just where the ranks agree. Of suffixes that agree, each but the
+        first has the one before it as previous smaller position, so the first is someone's match.
+        """
         hit = np.zeros(len(self.order), bool)
-        if keep == KEEP_FIRST:  # the previous factor is as long as the depth
-            for at in self.neighbours():
-                some = np.flatnonzero(at >= 0)
-                hit[some] |= self.rank[some] == self.rank[at[some]]
-        else:  # the best match of all is next to it in suffix order
-            same = self.rank[self.order[1:]] == self.rank[self.order[:-1]]
-            hit[self.order[1:]] |= same
-            hit[self.order[:-1]] |= same
+        for at in self.neighbours():
+            some = np.flatnonzero(at >= 0)
+            some = some[self.rank[some] == self.rank[at[some]]]
+            hit[some] = True
+            if keep == KEEP_NONE:
+                hit[at[some]] = True
         return hit
 
 
-def _regions(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """The bytes of runs that share an anchor with other contexts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, version, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for s in spans:
-                    for col, v in zip(out, (s["anchor"], doc, version, s["first"], text[s["first"] : s["last"] + window]), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], ["anchor", "doc", "version", "first", "region"])
-
-    joined = with_spans(docs, found.select("doc", "version", "first", "last", "anchor"), "inner").select("doc", "version", "text", "spans")
-    return joined.mapInArrow(run, "anchor long, doc long, version long, first long, region binary")
-
-
-def _spans(hit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive places with one owner."""
-    if not len(hit):
-        return hit, hit
-    new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (own[hit[1:]] != own[hit[:-1]])]))
-    return hit[new], hit[np.append(new[1:], len(hit)) - 1]
-
-
-def _matches(regions: DataFrame, count: int, window: int, keep: str) -> DataFrame:
-    """Spans (doc, version, first, last) of windows that repeat, found in suffix arrays of gathered regions."""
-    buckets = max(1, -(-count // REGIONS))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "version", "first"], kind="stable")  # position order is corpus order
-        sizes = np.fromiter(map(len, pdf["region"]), np.int64, len(pdf)) + 1
-        data = np.frombuffer(b"\0".join(pdf["region"]) + b"\0", np.uint8).astype(np.int64) + 1
-        end = np.cumsum(sizes) - 1
-        data[end] = 0  # between regions
-        own = np.repeat(np.arange(len(pdf)), sizes)
-        inside = np.arange(len(data)) + window <= end[own]  # windows without a boundary
-        hit = np.flatnonzero(Suffixes(data, window).copies(keep) & inside)
-        first, last = _spans(hit, own)
-        at = own[first]
-        base = pdf["first"].to_numpy()[at] - (end - sizes + 1)[at]
-        return pd.DataFrame({"doc": pdf["doc"].to_numpy()[at], "version": pdf["version"].to_numpy()[at], "first": first + base, "last": last + base})
+def judge_regions(regions: list[bytes], copied: np.ndarray, window: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows go of each region, and where each region's windows begin. Regions come in the order of the corpus.
 
-    return regions.groupBy(F.pmod("anchor", F.lit(buckets)).alias("bucket")).applyInPandas(match, "doc long, version long, first long, last long")
-
-
-def _hashed(docs: DataFrame, found: DataFrame, window: int, keep: str) -> DataFrame:
-    """The same for anchors of so many regions that no one task may hold them: by a hash of each window, counted in parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for doc, version, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ranges = Ranges(bytes_units(text))
-                for s in spans:
-                    at = np.arange(s["first"], s["last"] + 1)
-                    for col, x in zip(out, (np.full(len(at), s["anchor"]), splitmix(ranges.hash(at, at + window)).view(np.int64), np.full(len(at), doc), np.full(len(at), version), at), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in out], ["anchor", "hash", "doc", "version", "first"])
-
-    joined = with_spans(docs, found.select("doc", "version", "first", "last", "anchor"), "inner").select("doc", "version", "text", "spans")
-    windows = joined.mapInArrow(run, "anchor long, hash long, doc long, version long, first long")
-    counted = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n"), F.min(F.struct("doc", "version", "first")).alias("least")).filter("n > 1")
-    out = windows.join(counted, ["anchor", "hash"])
-    if keep == KEEP_FIRST:
-        out = out.filter("struct(doc, version, first) <> least")
-    return out.select("doc", "version", "first", F.col("first").alias("last"))
-
-
-def spans_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = KEEP_FIRST, hot: int = HOT_REGIONS) -> tuple[DataFrame, DataFrame]:
-    """The dealt documents, and the spans (doc, version, first and last window) whose bytes go."""
+    Only windows whose hash others share are sorted; whether they are equal the sorting tells. A region
+    that is ``copied`` is its copies' previous factor throughout, so without keeping any copy it goes.
+    """
+    sizes = np.fromiter(map(len, regions), np.int64, len(regions))
+    data = np.frombuffer(b"".join(regions), np.uint8)
+    n = sizes - window + 1
+    begin = np.concatenate([[0], np.cumsum(n)])
+    own = np.repeat(np.arange(len(n)), n)
+    starts = np.arange(len(own)) - begin[own] + (np.cumsum(sizes) - sizes)[own]
+    hashes = Ranges(bytes_units(data)).hash(starts, starts + window)
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    several = np.zeros(len(own), bool)
+    several[order[1:]] = same
+    several[order[:-1]] |= same
+    del hashes, order, same
+    several = np.flatnonzero(several)
+    hit = copied[own] if keep == KEEP_NONE else np.zeros(len(own), bool)
+    hit[several] |= Suffixes(data, window, starts[several]).copies(keep)
+    return hit, begin
+
+
+def _judge(window: int, keep: str):
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone = stretches(*judge_regions(pdf["region"].tolist(), pdf["copied"].to_numpy(bool), window, keep))
+        some = [i for i, x in enumerate(gone) if x]
+        return pd.DataFrame({**{c: pdf[c].to_numpy()[some] for c in ("doc", "version", "first")}, "gone": [gone[i] for i in some]})
+
+    return judge
+
+
+def _split(texts: list[bytes]) -> Units:
+    stream = b"".join(texts)
+    return Units(bytes_units(stream), np.fromiter(map(len, texts), np.int64, len(texts)), stream)
+
+
+def marked(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = KEEP_FIRST) -> tuple[DataFrame, DataFrame]:
+    """The dealt documents, and for each run with windows that go: doc, version, first, and those windows (``gone``)."""
     kind = Kind(_split, window, gram, SEED)
-    every = runs_of(docs, kind)
-    found = recurring(docs, kind, every)
-    texts = dealt(docs)
-    columns = ("doc", "version", "first", "last")
-    spans = found.filter("copied and not lead" if keep == KEEP_FIRST else "copied").select(*columns).unionByName(later_copies(every).select(*columns))
-    # copies of one context fare alike; where none stays, contexts that recur are settled already, but others must see them
-    compared = found.filter("lead and several")
-    sizes = compared.groupBy("anchor").count()
-    most = sizes.agg(F.max("count"), F.sum("count")).first()
-    if most[0] is None:
-        return texts, spans
-    if most[0] > hot:
-        large = sizes.filter(F.col("count") > hot).select("anchor")
-        spans = spans.unionByName(_hashed(texts, compared.join(large, "anchor", "left_semi"), window, keep))
-        compared = compared.join(large, "anchor", "left_anti")
-    return texts, spans.unionByName(_matches(_regions(texts, compared, window), most[1], window, keep))
-
-
-def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return bytes_units(b"".join(texts)), np.array([len(t) for t in texts], np.int64)
+    texts, found = occurrences(docs, kind)
+    leads = found.filter("lead and several")
+    sorted_ = judged(regions_of(texts, leads, kind), leads.count(), _judge(window, keep), "doc long, version long, first long, gone array<int>")
+    settled = found.filter("not lead" if keep == KEEP_FIRST else "not lead or (copied and not several)")
+    whole = F.array(F.lit(0), (F.col("last") - F.col("first")).cast("int")).alias("gone")
+    return texts, sorted_.unionByName(settled.select("doc", "version", "first", whole))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, keep: str = KEEP_FIRST) -> DataFrame:
@@ -235,7 +160,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: str = KEEP_FIRST) -> Data
     first and stays null. Texts shorter than a window lose nothing. An empty table gives no rows;
     further columns are ignored.
     """
-    texts, spans = spans_of(documents(docs), window, keep=keep)
+    texts, spans = marked(documents(docs), window, keep=keep)
     joined = with_spans(texts, spans, "left").select("doc", "version", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +169,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: str = KEEP_FIRST) -> Data
             for text, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 kept, removed, runs = text, 0, 0
                 if found:
-                    edge = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(edge, [s["first"] for s in found], 1)
-                    np.add.at(edge, [s["last"] + window for s in found], -1)
-                    gone = np.cumsum(edge)[:-1] > 0
+                    gone = covered(len(text), found, window)
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 rows.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept))

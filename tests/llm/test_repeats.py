@@ -77,6 +77,8 @@ def test_words_of_few_kinds(spark, seed, monkeypatch):
     """Periodic and overlapping repetitions, where runs are cut differently in every copy."""
     if seed % 2:
         crowded(monkeypatch)
+    if seed > 1:
+        monkeypatch.setattr(repeats, "DIVIDED", seed - 1)
     rng = random.Random(seed)
     blocks = [[rng.choice("abc") for _ in range(rng.randrange(3, 40))] for _ in range(6)]
     rows = [(i, " ".join(w for _ in range(rng.randrange(1, 6)) for w in rng.choice(blocks))) for i in range(40)]
@@ -108,13 +110,30 @@ def test_counted_runs_survive_other_batches(spark, operator, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in out} == expected
 
 
-def test_patterns_are_sharded(monkeypatch):
-    monkeypatch.setattr(phrases, "SHARD_CHARS", 50)
-    monkeypatch.setattr(phrases, "PATTERN_WINDOWS", 3)
+@pytest.mark.parametrize("shard", [1, 50, 10**6])
+def test_automata_find_the_occurrences(monkeypatch, shard):
+    """Of four regions the second has copies as it is, the third shares windows with the second, the fourth is like the first."""
+    monkeypatch.setattr(phrases, "SHARD_WORDS", shard)
+    w = [b"w%d" % i for i in range(90)]
+    regions = [w[:8], w[10:24], w[14:20] + w[50:60], w[:8]]
+    mine, others, begin = phrases.judge_regions([b" ".join(r) for r in regions], np.array([False, True, False, False]), 5)
+    assert begin.tolist() == [0, 4, 14, 26, 30]
+    assert np.flatnonzero(mine).tolist() == [14, 15, 26, 27, 28, 29]
+    assert np.flatnonzero(others).tolist() == list(range(4, 14))
+
+
+def test_nothing_goes_without_the_automata(monkeypatch):
+    monkeypatch.setattr(phrases, "occurrences", lambda ids, found: iter(()))
     text = b" ".join(b"w%d" % i for i in range(60))
-    spans = [{"first": 5, "last": 30, "fdoc": 1, "fversion": 0, "ffirst": 5}]
-    gone = phrases.remove_repeats([text, text], [(1, 0), (2, 0)], [None, spans])
-    assert not gone[0].any() and np.flatnonzero(gone[1]).tolist() == list(range(5, 50))
+    mine, others, _ = phrases.judge_regions([text, text], np.array([True, True]), 20)
+    assert not mine.any() and not others.any()
+
+
+def test_equal_hashes_are_no_proof(monkeypatch):
+    """Windows that a hash takes for one aren't removed, as the automaton finds no second occurrence."""
+    monkeypatch.setattr(phrases, "splitmix", lambda x: np.zeros_like(x))
+    mine, others, _ = phrases.judge_regions([b" ".join(b"a%d" % i for i in range(25)), b" ".join(b"b%d" % i for i in range(25))], np.array([False, False]), 20)
+    assert not mine.any() and not others.any()
 
 
 def test_rows_and_columns_stay(spark, messy):
@@ -130,17 +149,27 @@ def test_rows_and_columns_stay(spark, messy):
 
 @pytest.mark.parametrize("keep", [suffixes.KEEP_NONE, suffixes.KEEP_FIRST])
 def test_bytes_against_brute_force(spark, messy, keep):
-    rows = [r for r in messy.collect() if r["doc_id"] is not None and r["doc_id"] != 11]
+    rows = [r for r in messy.collect() if r["doc_id"] is not None]
     expected = {k: v for k, *v in slow_bytes([(k, t.encode()) for k, t in order(rows)], 50, keep)}
-    out = suffixes.dedup(with_clashes(messy.filter("doc_id is not null and doc_id <> 11")), window=50, keep=keep).collect()
+    out = suffixes.dedup(with_clashes(messy.filter("doc_id is not null")), window=50, keep=keep).collect()
     assert len(out) == len(rows)
     for r in out:
         assert [r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]] == expected[r["doc_id"]], r["doc_id"]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(0, 10**9), (1, 10**9), (2, 1), (3, 1)])
-def test_bytes_of_few_kinds(spark, seed, hot, monkeypatch):
-    """Also with every anchor counted as hot, so that windows are compared by their hashes."""
+def test_bytes_of_null_ids(spark, messy):
+    """A null id comes first and stays null; its rows count as documents like all others."""
+    rows = [r for r in messy.collect() if r["doc_id"] != 11]
+    expected = sorted(v for _, *v in slow_bytes([(k, t.encode()) for k, t in order(rows)], 50, suffixes.KEEP_NONE) for _ in range(2 if _ == 2 else 1))
+    out = suffixes.dedup(messy.filter("doc_id is null or doc_id <> 11"), window=50, keep=suffixes.KEEP_NONE).collect()
+    assert sorted([r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]] for r in out) == expected
+    assert {r["n_bytes"]: r["n_removed"] for r in suffixes.dedup(messy, window=50).collect() if r["doc_id"] is None}.popitem()[1] == 0
+
+
+@pytest.mark.parametrize(("seed", "limit"), [(0, 10**9), (1, 10**9), (2, 1), (3, 3)])
+def test_bytes_of_few_kinds(spark, seed, limit, monkeypatch):
+    """Also with anchors of a few regions counted as too large, so that they are divided."""
+    monkeypatch.setattr(repeats, "DIVIDED", limit)
     if seed % 2:
         crowded(monkeypatch)
     rng = random.Random(seed)
@@ -149,10 +178,11 @@ def test_bytes_of_few_kinds(spark, seed, hot, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for keep in (suffixes.KEEP_FIRST, suffixes.KEEP_NONE):
         expected = slow_bytes([(k, t.encode()) for k, t in rows], 60, keep)
-        texts, spans = suffixes.spans_of(suffixes.documents(docs), 60, keep=keep, hot=hot)
+        texts, spans = suffixes.marked(suffixes.documents(docs), 60, keep=keep)
         gone = {k: np.zeros(len(t), bool) for k, t in rows}
         for s in spans.collect():
-            gone[s["doc"]][s["first"] : s["last"] + 60] = True
+            for a, b in zip(s["gone"][::2], s["gone"][1::2], strict=True):
+                gone[s["doc"]][s["first"] + a : s["first"] + b + 60] = True
         assert {k: int(g.sum()) for k, g in gone.items()} == {k: n for k, _, n, _, _ in expected}
 
 
@@ -168,10 +198,20 @@ def test_longest_previous_factor(depth):
             k += 1
         return k
 
-    s = suffixes.Suffixes(data, depth)
+    s = suffixes.Suffixes(data.astype(np.uint16) + 1, depth)
     assert s.longest_previous_factor().tolist() == [max((common(i, j) for j in range(i)), default=0) for i in range(len(data))]
 
 
+@pytest.mark.parametrize("keep", [suffixes.KEEP_FIRST, suffixes.KEEP_NONE])
+def test_previous_smaller_positions_decide(keep, monkeypatch):
+    data = np.frombuffer(b"abc\0bcabc--abc\0bd\0\0\0\0", np.uint8)
+    at = np.arange(len(data) - 2)
+    expected = [any(data[i : i + 3].tolist() == data[j : j + 3].tolist() for j in at if (j < i or keep == suffixes.KEEP_NONE) and j != i) for i in at]
+    assert suffixes.Suffixes(data, 3, at).copies(keep).tolist() == expected
+    monkeypatch.setattr(suffixes, "previous_smaller", lambda x: np.full(len(x), -1))
+    assert not suffixes.Suffixes(data, 3, at).copies(keep).any()
+
+
 def test_runs_cover_every_window_once(monkeypatch):
     from corvane.llm import anchors
 
