@@ -45,6 +45,8 @@ COUNTED = 8
 HOT_SHARE, HOT_TASKS = 2_000, 64
 #: One in so many documents tells which anchors are hot. This deals rows out and changes no result.
 HOT_SAMPLE = 16
+#: Documents whose ids are broadcast at most, to shuffle only the texts that are divided: 32 MB or so.
+BROADCAST_IDS = 1 << 21
 #: Regions gathered in one task's kernel, on average, and those of one anchor from which on it is divided.
 REGIONS, DIVIDED = 4_000, 2_000
 
@@ -87,11 +89,12 @@ def documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc (the id; null as the smallest), version, text as bytes, and carried columns with a leading mark.
 
     Rows of one id and text are one document. Texts of one id are told apart by ``version``, a hash of
-    the text; it is 0 where ids are unique, which costs no space.
+    the text; it is 0 where ids are unique, which costs no space. (No literal, and never
+    null, so that the optimizer gives all uses of the texts one partitioning and one exchange.)
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     repeated = docs.select(doc.alias("doc")).groupBy("doc").count().filter("count > 1").limit(1)
-    version = F.lit(0).cast("long") if repeated.isEmpty() else F.coalesce(F.xxhash64("text"), F.lit(0))
+    version = F.coalesce(F.pmod(doc, F.lit(1).cast("long")) if repeated.isEmpty() else F.xxhash64("text"), F.lit(0))
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     out = docs.select(doc.alias("doc"), version.alias("version"), text.alias("text"), *(F.col(f"`{c}`").alias(f"_{c}") for c in carry))
     bounded_batches(docs.sparkSession)
@@ -168,7 +171,7 @@ def _occurrences(every: DataFrame) -> DataFrame:
     return recurring(every).unionByName(later.select(*_OCCURRENCE))
 
 
-def divided(texts: DataFrame, kind: Kind, found: DataFrame, width: int) -> DataFrame:
+def divided(docs: DataFrame, kind: Kind, found: DataFrame, width: int) -> DataFrame:
     """Occurrences cut into parts whose windows lie within ``width`` distances from their anchor, as runs of anchors of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +193,12 @@ def divided(texts: DataFrame, kind: Kind, found: DataFrame, width: int) -> DataF
             if columns[0]:
                 yield _counted(*map(np.concatenate, columns), COUNTED)
 
-    joined = with_spans(texts, found.select("doc", "version", "first", "last", "anchor", "place"), "inner").select("doc", "version", "text", "spans")
+    found = materialize(found.select("doc", "version", "first", "last", "anchor", "place"), "large")
+    own = found.select("doc", "version").distinct()
+    slim = docs.select("doc", "version", "text")
+    if own.count() <= BROADCAST_IDS:
+        slim = slim.join(F.broadcast(own), ["doc", "version"], "left_semi")
+    joined = with_spans(slim, found, "inner").select("doc", "version", "text", "spans")
     return materialize(joined.mapInArrow(run, RUN), "divided")
 
 
@@ -206,7 +214,7 @@ def occurrences(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
         if again:
             large = materialize(large, "large")
             few = found.join(large, "anchor", "left_anti").select(*_OCCURRENCE)
-            found = _occurrences(divided(texts, kind, found.join(large, "anchor", "left_semi"), width))
+            found = _occurrences(divided(docs, kind, found.join(large, "anchor", "left_semi"), width))
         done = few if done is None else done.unionByName(few)
         if not again:
             return texts, done
