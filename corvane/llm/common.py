@@ -59,7 +59,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote, once nothing reads it any more."""
+    _remove(df.sparkSession, df.written_to)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -73,7 +80,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= min(cores, 64):
         return df
-    return df.repartition(cores, *(F.col(k) for k in keys))
+    text = [F.xxhash64("text")] if "text" in df.columns else []  # null or repeated ids don't meet in one task
+    return df.repartition(cores, *(F.col(k) for k in keys), *text)
 
 
 def binary_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm.anchors import runs
-from corvane.llm.common import bounded_batches, materialize, splitmix, spread
+from corvane.llm.common import bounded_batches, discard, materialize, splitmix, spread
 
 RUN = "doc long, version long, first long, last long, anchor long, place long, c1 long, c2 long, n long, later boolean"
 NULL_ID = -(1 << 63)
@@ -45,8 +45,8 @@ COUNTED = 8
 HOT_SHARE, HOT_TASKS = 2_000, 64
 #: One in so many documents tells which anchors are hot. This deals rows out and changes no result.
 HOT_SAMPLE = 16
-#: Documents whose ids are broadcast at most, to shuffle only the texts that are divided: 32 MB or so.
-BROADCAST_IDS = 1 << 21
+#: Documents whose ids are broadcast at most, to shuffle only the texts that are divided: 4 MB of ids.
+BROADCAST_IDS = 1 << 18
 #: Regions gathered in one task's kernel, on average, and those of one anchor from which on it is divided.
 REGIONS, DIVIDED = 4_000, 2_000
 
@@ -144,7 +144,7 @@ def hot_anchors(every: DataFrame) -> list[int]:
 
 
 def recurring(every: DataFrame) -> DataFrame:
-    """Of ``every`` run that isn't a later one, those whose anchor has others, written out.
+    """Of ``every`` run those whose anchor has others, written out; ``every``, which nothing else reads, is removed.
 
     Adds ``lead``, whether this is the first of its region, and ``several``, whether its anchor has
     other regions; to leads also ``copied``, whether there are others of their region.
@@ -159,18 +159,15 @@ def recurring(every: DataFrame) -> DataFrame:
     whole = Window.partitionBy("anchor", "_task")
     out = out.withColumns({"lead": ~same["before"], "copied": same["after"] | (F.col("n") > 1)})
     out = out.withColumn("several", is_hot | (F.min(F.struct("c1", "c2")).over(whole) != F.max(F.struct("c1", "c2")).over(whole)))
-    return materialize(out.select(*_OCCURRENCE), "recurring")
+    later = every.filter("later").withColumns({c: F.lit(False) for c in ("lead", "copied", "several")})
+    out = materialize(out.select(*_OCCURRENCE).unionByName(later.select(*_OCCURRENCE)), "recurring")
+    discard(every)
+    return out
 
 
 _OCCURRENCE = ("doc", "version", "first", "last", "anchor", "place", "c1", "c2", "lead", "copied", "several")
 
 
-def _occurrences(every: DataFrame) -> DataFrame:
-    """The occurrences of regions whose anchor recurs, those counted in their batches as well."""
-    later = every.filter("later").withColumns({c: F.lit(False) for c in ("lead", "copied", "several")})
-    return recurring(every).unionByName(later.select(*_OCCURRENCE))
-
-
 def divided(docs: DataFrame, kind: Kind, found: DataFrame, width: int) -> DataFrame:
     """Occurrences cut into parts whose windows lie within ``width`` distances from their anchor, as runs of anchors of their own."""
 
@@ -204,7 +201,7 @@ def divided(docs: DataFrame, kind: Kind, found: DataFrame, width: int) -> DataFr
 
 def occurrences(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     """The dealt documents, and all occurrences of regions whose anchor recurs."""
-    found = _occurrences(runs_of(docs, kind))
+    found = recurring(runs_of(docs, kind))
     texts, done = dealt(docs), None
     for width in (*kind.divisions(), 0):
         sizes = found.filter("lead").groupBy("anchor").count()
@@ -214,7 +211,7 @@ def occurrences(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
         if again:
             large = materialize(large, "large")
             few = found.join(large, "anchor", "left_anti").select(*_OCCURRENCE)
-            found = _occurrences(divided(docs, kind, found.join(large, "anchor", "left_semi"), width))
+            found = recurring(divided(docs, kind, found.join(large, "anchor", "left_semi"), width))
         done = few if done is None else done.unionByName(few)
         if not again:
             return texts, done
