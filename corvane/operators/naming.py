@@ -9,14 +9,23 @@ from pyspark.sql.window import Window
 from corvane.functions import text
 
 
-def top_genres(members: DataFrame, groups: list[str], genre: str = "genre", n: int = 2, joined: str = " / ") -> DataFrame:
-    """The ``n`` most frequent genres of each group, simplified and joined; ties by name."""
+def ranked_genres(members: DataFrame, groups: list[str], genre: str, n: int) -> DataFrame:
+    """The ``n`` most frequent values of each group that aren't blank, with their ``place``; ties by name."""
     counts = members.filter(F.col(genre).isNotNull() & (F.trim(genre) != "")).groupBy(*groups, genre).agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("n"), F.col(genre)))
-    best = counts.withColumn("place", place).filter(F.col("place") <= n)
+    return counts.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def _listed(best: DataFrame, groups: list[str], genre: str) -> DataFrame:
     # at most n rows a group reach the list
-    names = F.transform(F.sort_array(F.collect_list(F.struct("place", text.simple_genre(genre).alias("g")))), lambda x: x["g"])
-    return best.groupBy(*groups).agg(F.array_join(names, joined).alias("genres"))
+    names = F.transform(F.sort_array(F.collect_list(F.struct("place", F.col(genre).alias("g")))), lambda x: x["g"])
+    return best.groupBy(*groups).agg(names.alias("names"))
+
+
+def top_genres(members: DataFrame, groups: list[str], genre: str = "genre", n: int = 2, joined: str = " / ") -> DataFrame:
+    """The ``n`` most frequent simple genres of each group, joined. Genres of one simple name count as one."""
+    simple = members.select(*groups, text.simple_genre(genre).alias("_simple"))
+    return _listed(ranked_genres(simple, groups, "_simple", n), groups, "_simple").select(*groups, F.array_join("names", joined).alias("genres"))
 
 
 def cluster_names(results: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
@@ -39,18 +48,26 @@ def cluster_names(results: DataFrame, catalog: DataFrame, key: str) -> DataFrame
 
 
 def genre_folders(members: DataFrame, group: str, genre: str, n: int = 2) -> DataFrame:
-    """Folder of each group: first genre and the list of its top ones, ``unknown`` and ``error`` not counted."""
+    """Folder of each group: first genre and the list of its top ones, ``unknown`` and ``error`` not counted. Genres are counted as they are and then simplified."""
     known = members.filter(~F.col(genre).isin("unknown", "error"))
-    names = top_genres(known, [group], genre, n, "_")
+    best = ranked_genres(known, [group], genre, n).withColumn("_simple", text.simple_genre(genre))
+    names = _listed(best, [group], "_simple")
     groups = members.select(group).distinct()
-    folder = F.when(F.coalesce("genres", F.lit("")) == "", F.concat(F.lit("Group_"), F.col(group))).otherwise(F.concat(F.split("genres", "_")[0], F.lit("_["), F.col("genres"), F.lit("]")))
+    folder = F.when(F.col("names").isNull(), F.concat(F.lit("Group_"), F.col(group))).otherwise(F.concat(F.col("names")[0], F.lit("_["), F.array_join("names", "_"), F.lit("]")))
     return groups.join(names, group, "left").select(group, F.when(F.col(group) == "Noise", F.lit("Noise")).otherwise(folder).alias("folder"))
 
 
+def subcluster_folders(members: DataFrame, group: str, genre: str) -> DataFrame:
+    """Folder of each subcluster: its most frequent genre, simplified, or its own label; noise keeps its label."""
+    noise = (F.col(group) == "Noise") | F.contains(group, F.lit("_noise"))
+    known = members.filter(~F.col(genre).isin("unknown", "error"))
+    first = ranked_genres(known, [group], genre, 1).select(group, text.simple_genre(genre).alias("_simple"))
+    return members.select(group).distinct().join(first, group, "left").select(group, F.when(noise, F.col(group)).otherwise(F.coalesce("_simple", group)).alias("folder"))
+
+
 def majority(members: DataFrame, group: str, value: str) -> DataFrame:
-    """The most frequent value of each group; ties by name."""
-    counts = members.groupBy(group, value).agg(F.count("*").alias("n"))
-    return counts.groupBy(group).agg(F.max_by(value, F.struct("n", F.expr(f"transform(split({value}, ''), c -> -ascii(c))"))).alias(value))
+    """The most frequent value of each group, nulls and blanks left out; ties by name."""
+    return ranked_genres(members, [group], value, 1).select(group, value)
 
 
 def disambiguated(names: DataFrame, name: str, letter: str) -> DataFrame:

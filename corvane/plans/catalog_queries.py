@@ -87,14 +87,8 @@ def stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.stable_sample(read(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 25)
 
 
-@query("SELECT doc_id, sha256(text) AS track_uid, sha256(substr(text, 1, 64) || CAST(strlen(text) AS VARCHAR)) AS fast_uid, sha1(source || '/' || doc_id) AS track_id, substr(md5(text), 1, 8) AS config_hash FROM documents WHERE regexp_full_match(substr(text, 1, 64), '[\\x00-\\x7F]*')")
+@query("SELECT doc_id, sha256(text) AS track_uid, sha256(encode(text)[1:64] || encode(CAST(strlen(text) AS VARCHAR))) AS fast_uid, sha1(source || '/' || doc_id) AS track_id, substr(md5(text), 1, 8) AS config_hash FROM documents")
 def track_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _uids(read(spark, sf_dir, "documents").filter(F.substring("text", 1, 64).rlike(r"^[\x00-\x7F]*$")))
-
-
-@query()
-def track_uids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document, whatever it opens with; a test compares it with brute force."""
     return _uids(read(spark, sf_dir, "documents"))
 
 
@@ -122,9 +116,9 @@ def cluster_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VOTE = """votes AS (
-  SELECT label_l1, genre, count(*) AS n FROM tracks JOIN catalog ON track_id = vec_id GROUP BY ALL),
+  SELECT label_l1, split_part(genre, '---', 2) AS genre, count(*) AS n FROM tracks JOIN catalog ON track_id = vec_id GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY label_l1 ORDER BY n DESC, genre) AS place FROM votes),
-tops AS (SELECT label_l1, string_agg(split_part(genre, '---', 2), ' / ' ORDER BY place) AS genres FROM placed WHERE place <= 2 GROUP BY label_l1)"""
+tops AS (SELECT label_l1, string_agg(genre, ' / ' ORDER BY place) AS genres FROM placed WHERE place <= 2 GROUP BY label_l1)"""
 
 
 @query(with_sql("SELECT * FROM tops", _VOTE))
@@ -134,9 +128,9 @@ def genre_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = _VOTE + """,
-votes2 AS (SELECT label_l1, label_l2, genre, count(*) AS n FROM tracks JOIN catalog ON track_id = vec_id WHERE label_l1 >= 0 AND label_l2 >= 0 GROUP BY ALL),
+votes2 AS (SELECT label_l1, label_l2, split_part(genre, '---', 2) AS genre, count(*) AS n FROM tracks JOIN catalog ON track_id = vec_id WHERE label_l1 >= 0 AND label_l2 >= 0 GROUP BY ALL),
 placed2 AS (SELECT *, row_number() OVER (PARTITION BY label_l1, label_l2 ORDER BY n DESC, genre) AS place FROM votes2),
-tops2 AS (SELECT label_l1, label_l2, string_agg(split_part(genre, '---', 2), ' / ' ORDER BY place) AS genres FROM placed2 WHERE place <= 2 GROUP BY label_l1, label_l2),
+tops2 AS (SELECT label_l1, label_l2, string_agg(genre, ' / ' ORDER BY place) AS genres FROM placed2 WHERE place <= 2 GROUP BY label_l1, label_l2),
 l1 AS (SELECT label_l1, max(label_l2) >= 0 AS divided, min(label_l2) = -1 AS noisy, chr(65 + label_l1) AS letter FROM tracks WHERE label_l1 >= 0 GROUP BY label_l1),
 names AS (
   SELECT 'l1_-1' AS key, 'Noise' AS name
@@ -171,9 +165,19 @@ def folder_names_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("SELECT letter, split_part(genre_1, '---', 2) AS genre FROM fplaced WHERE place = 1", _FOLDERS))
 def genre_map_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _members(spark, sf_dir).filter("genre_1 not in ('unknown', 'error')").groupBy("letter", "genre_1").count()
-    first = F.row_number().over(Window.partitionBy("letter").orderBy(F.desc("count"), "genre_1"))
-    return counts.withColumn("place", first).filter("place = 1").select("letter", text.simple_genre("genre_1").alias("genre"))
+    known = _members(spark, sf_dir).filter("genre_1 not in ('unknown', 'error')")
+    return N.majority(known, "letter", "genre_1").select("letter", text.simple_genre("genre_1").alias("genre"))
+
+
+@query(with_sql("""SELECT label, CASE WHEN label = 'Noise' OR label LIKE '%!_noise' ESCAPE '!' THEN label ELSE COALESCE((SELECT split_part(v.genre, '---', 2) FROM svotes v WHERE v.label = s.label ORDER BY n DESC, v.genre LIMIT 1), label) END AS folder
+  FROM (SELECT DISTINCT label FROM subs) s""", """subs AS (SELECT CASE WHEN label_l1 = -1 THEN 'Noise' WHEN label_l2 = -1 THEN chr(65 + label_l1) || '_noise' ELSE chr(65 + label_l1) || (label_l2 + 1) END AS label, CASE WHEN vec_id % 13 = 0 OR label_l1 = 2 THEN 'unknown' ELSE genre END AS genre FROM tracks JOIN catalog ON track_id = vec_id),
+svotes AS (SELECT label, genre, count(*) AS n FROM subs WHERE genre NOT IN ('unknown', 'error') GROUP BY ALL)"""))
+def subcluster_folders_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.operators.clustering import composite_labels
+
+    rows = tracks(spark, sf_dir).join(catalog(spark, sf_dir).select(F.col("track_id").alias("vec_id"), "genre"), "vec_id")
+    genre = F.when((F.col("vec_id") % 13 == 0) | (F.col("label_l1") == 2), "unknown").otherwise(F.col("genre"))
+    return N.subcluster_folders(composite_labels(rows).select(F.col("composite").alias("label"), genre.alias("genre")), "label", "genre")
 
 
 @query(with_sql("SELECT letter, split_part(folder, '_[', 1) AS folder, split_part(folder, '_[', 1) || CASE WHEN count(*) OVER (PARTITION BY split_part(folder, '_[', 1)) > 1 THEN ' (' || letter || ')' ELSE '' END AS label FROM folders", _FOLDERS))
@@ -225,14 +229,9 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").agg(F.count("*").alias("n_found"), F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_failed"), F.count_distinct("source").alias("n_sources"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.percentile("n_chars", 0.5).alias("middle"))
 
 
-@query("SELECT event_id, checkpoint, last_value(checkpoint IGNORE NULLS) OVER (ORDER BY event_id) AS last_checkpoint FROM (SELECT event_id, CASE WHEN (event_id + 1) % 25 = 0 THEN event_id END AS checkpoint FROM events WHERE user_id = 7)")
-def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpoint_marks_all(spark, sf_dir).filter("user_id = 7").drop("user_id")
-
-
 @query("SELECT user_id, event_id, checkpoint, last_value(checkpoint IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS last_checkpoint FROM (SELECT user_id, event_id, CASE WHEN (event_id + 1) % 25 = 0 THEN event_id END AS checkpoint FROM events)")
-def checkpoint_marks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every user."""
+def checkpoint_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last checkpoint at every event."""
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.when((F.col("event_id") + 1) % 25 == 0, F.col("event_id")).alias("checkpoint"))
     return rows.withColumn("last_checkpoint", F.last("checkpoint", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("event_id")))
 
@@ -249,17 +248,10 @@ def three_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", "cluster_l1", F.coalesce(F.nullif("l2", F.lit("")), "cluster_l1").alias("cluster_l2"), F.coalesce("genre", F.lit("Unknown")).alias("folder"))
 
 
-@query("""SELECT label, row_number() OVER (ORDER BY CASE WHEN label IN ('-1', 'Noise') THEN 2 WHEN TRY_CAST(label AS INTEGER) IS NOT NULL THEN 0 ELSE 1 END,
-  CASE WHEN label NOT IN ('-1', 'Noise') AND TRY_CAST(label AS INTEGER) IS NOT NULL THEN lpad(label, 6, '0') ELSE label END) AS place
-  FROM (SELECT DISTINCT CASE WHEN event_id % 7 = 0 THEN 'Noise' WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id % 23 - 1 AS VARCHAR) END AS label FROM events WHERE event_id < 900)""")
-def cluster_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sorted_labels(read(spark, sf_dir, "events").filter("event_id < 900"))
-
-
 @query("""SELECT label, row_number() OVER (ORDER BY CASE WHEN label IN ('-1', 'Noise') THEN 2 WHEN TRY_CAST(label AS INTEGER) IS NOT NULL THEN 0 ELSE 1 END,
   CASE WHEN label NOT IN ('-1', 'Noise') AND TRY_CAST(label AS INTEGER) IS NOT NULL THEN lpad(label, 6, '0') ELSE label END) AS place
   FROM (SELECT DISTINCT CASE WHEN event_id % 7 = 0 THEN 'Noise' WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id % 23 - 1 AS VARCHAR) END AS label FROM events)""")
-def cluster_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cluster_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of every event."""
     return _sorted_labels(read(spark, sf_dir, "events"))
 

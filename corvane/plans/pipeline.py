@@ -82,11 +82,9 @@ class Engine:
     def cluster(self, config_tag: str = "baseline", **over) -> DataFrame:
         c = self.settings["clustering"] | {k: v for k, v in over.items() if v is not None}
         rows = self._load("features", "extract").select(F.col("track_uid").alias("id"), F.col("mert_perc").cast("array<double>").alias("perc"), F.col("mert_full").cast("array<double>").alias("full"))
-        ids = rows.select("id").withColumn("n", F.xxhash64("id"))
-        numbered = rows.join(ids, "id").select(F.col("n").alias("id"), F.col("id").alias("track_uid"), "perc", "full")
-        labels = L.two_levels(numbered.select("id", "perc", "full"), L.HDBSCAN(c["l1_min_cluster_size"], c["l1_min_samples"]), L.HDBSCAN(c["l2_min_cluster_size"], c["l2_min_samples"]), c["pca_dim"], c["assign_noise"])
-        plane = L.project_2d(numbered.select("id", F.col("full").alias("vector")))
-        out = numbered.select("id", "track_uid").join(labels, "id").join(plane, "id").select("track_uid", "label_l1", "label_l1_raw", "label_l2", "label_l2_raw", F.col("x").alias("umap_x"), F.col("y").alias("umap_y"))
+        labels = L.two_levels(rows, L.HDBSCAN(c["l1_min_cluster_size"], c["l1_min_samples"]), L.HDBSCAN(c["l2_min_cluster_size"], c["l2_min_samples"]), c["pca_dim"], c["assign_noise"])
+        plane = L.project_2d(rows.select("id", F.col("full").alias("vector")))
+        out = labels.join(plane, "id").select(F.col("id").alias("track_uid"), "label_l1", "label_l1_raw", "label_l2", "label_l2_raw", F.col("x").alias("umap_x"), F.col("y").alias("umap_y"))
         return self._save(out, f"results_{self.tag(config_tag)}")
 
     def name(self, config_tag: str = "baseline") -> DataFrame:
@@ -98,7 +96,7 @@ class Engine:
     def order(self, config_tag: str = "baseline", weights: dict | None = None) -> DataFrame:
         results = self._load(f"results_{self.tag(config_tag)}", "cluster")
         features = self._load("features", "extract").select("track_uid", F.col("mert_full").cast("array<double>").alias("vector"), "bpm", "key")
-        rows = O.with_camelot(results.join(features, "track_uid", "left"))
+        rows = O.with_camelot(results.filter("label_l1 <> -1").join(features, "track_uid", "left"))  # noise has no place
         placed = O.order_clusters(rows, ["label_l1", "label_l2"], "track_uid", weights or self.settings["ordering"]["weights"]).select("track_uid", "position")
         return self._save(C.with_defaults(results.join(placed, "track_uid", "left"), position=-1), f"ordered_{self.tag(config_tag)}")
 
@@ -114,6 +112,9 @@ class Engine:
     def evaluate(self, config_tag: str = "baseline", dev_set_csv: str | None = None) -> dict:
         results = self._load(f"results_{self.tag(config_tag)}", "cluster")
         out = M.cluster_stats(results).first().asDict()
+        # one row per cluster
+        out["cluster_sizes"] = {str(r["label_l1"]): r["n_tracks"] for r in M.cluster_sizes(results).collect()}
+        out["per_cluster"] = {str(r["label_l1"]): {k: r[k] for k in ("n_tracks", "n_subclusters", "noise_rate_l2")} for r in M.subcluster_stats(results).collect()}
         scores = {}
         if dev_set_csv:
             dev = files.read_csv(self.spark, dev_set_csv, ("track_uid", "label_true"), "track_uid string, label_true int")

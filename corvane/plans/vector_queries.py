@@ -53,7 +53,9 @@ def key_compat_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _key_pairs(spark, sf_dir).select("track_id", O.keys.ordering_compatibility(K.camelot("key"), K.camelot("key_b")).cast("double").alias("score"))
 
 
-_RING_SQL = "ring AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in K.RING_PLACES.items()) + ") t(key, place))"
+# Each spelling's place on the rings that metrics use, minor first.
+_PLACES = {"Am": 0, "Em": 1, "Bm": 2, "F#m": 3, "C#m": 4, "G#m": 5, "D#m": 6, "A#m": 7, "Fm": 8, "Cm": 9, "Gm": 10, "Dm": 11, "C": 12, "G": 13, "D": 14, "A": 15, "E": 16, "B": 17, "F#": 18, "C#": 19, "Ab": 20, "Eb": 21, "Bb": 22, "F": 23, "Abm": 5, "Ebm": 6, "Bbm": 7, "Db": 19, "Gb": 18, "Cb": 17, "1A": 0, "2A": 1, "3A": 2, "4A": 3, "5A": 4, "6A": 5, "7A": 6, "8A": 7, "9A": 8, "10A": 9, "11A": 10, "12A": 11, "1B": 12, "2B": 13, "3B": 14, "4B": 15, "5B": 16, "6B": 17, "7B": 18, "8B": 19, "9B": 20, "10B": 21, "11B": 22, "12B": 23}
+_RING_SQL = "ring AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _PLACES.items()) + ") t(key, place))"
 
 
 @query(with_sql("""SELECT a.track_id, CAST(CASE WHEN ra.place IS NULL OR rb.place IS NULL THEN 0.0 WHEN d = 0 THEN 1.0 WHEN d = 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
@@ -203,7 +205,7 @@ def nmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mutual_information(_label_pairs(spark, sf_dir)).select(F.round("nmi", 6).alias("nmi"))
 
 
-_RANKS = """pairs AS (SELECT vec_id AS i, vec_id + 1 AS j FROM embeddings WHERE vec_id % 10 = 0),
+_RANKS = """pairs AS (SELECT vec_id AS i, vec_id + 1 AS j FROM embeddings),
 d AS (SELECT p.i, p.j, x.vec_id AS k, 1 - """ + _COS.format(a="q.mert_full", b="x.mert_full") + """ AS d FROM pairs p JOIN tracks q ON q.vec_id = p.i JOIN tracks x ON x.vec_id <> p.i),
 own AS (SELECT i, j, d AS dj FROM d WHERE k = j),
 ranks AS (SELECT i, j, count(*) FILTER (d <= dj) AS worst, 1 + count(*) FILTER (d < dj OR (d = dj AND k < j)) AS place, count(*) FILTER (d > dj) / (SELECT count(*) - 2 FROM tracks) AS auc FROM d JOIN own USING (i, j) GROUP BY i, j)"""
@@ -211,7 +213,7 @@ ranks AS (SELECT i, j, count(*) FILTER (d <= dj) AS worst, 1 + count(*) FILTER (
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tracks(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("mert_full").alias("vector"))
-    pairs = points.filter("id % 10 = 0").select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    pairs = points.select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
     return M.positive_ranks(pairs, points)
 
 
@@ -305,10 +307,11 @@ def bpm_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))  # one row
 
 
-@query(with_sql("SELECT count(*) AS n, count(DISTINCT label_l1) FILTER (label_l1 >= 0) AS clusters, count(*) FILTER (label_l1 = -1) AS noise, count(*) FILTER (label_l2 = -1) AS raw_noise, median(bpm) AS bpm_median FROM tracks LEFT JOIN features ON track_id = vec_id"))
+@query(with_sql("SELECT count(*) AS n, count(DISTINCT label_l1) FILTER (label_l1 >= 0) AS clusters, count(*) FILTER (label_l1 = -1) / count(*) AS noise_rate, count(*) FILTER (label_l1 = -1 OR vec_id % 7 = 0) / count(*) AS raw_noise_rate, median(bpm) AS bpm_median FROM tracks LEFT JOIN features ON track_id = vec_id"))
 def dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tracks(spark, sf_dir).select("vec_id", "label_l1", "label_l2").join(features(spark, sf_dir).withColumnRenamed("track_id", "vec_id"), "vec_id", "left")
-    return rows.agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("label_l1") >= 0, F.col("label_l1"))).alias("clusters"), F.count_if(F.col("label_l1") == -1).alias("noise"), F.count_if(F.col("label_l2") == -1).alias("raw_noise"), F.percentile("bpm", 0.5).alias("bpm_median"))
+    raw = F.when(F.col("vec_id") % 7 == 0, -1).otherwise(F.col("label_l1")).alias("label_l1_raw")
+    rows = tracks(spark, sf_dir).select("vec_id", "label_l1", raw).join(features(spark, sf_dir).withColumnRenamed("track_id", "vec_id"), "vec_id", "left")
+    return M.dashboard_kpis(rows)
 
 
 @query(with_sql("SELECT label_l1, label_l2, dense_rank() OVER (PARTITION BY label_l1 ORDER BY label_l2) AS colour, row_number() OVER (PARTITION BY label_l1 ORDER BY vec_id) = 1 AS first_trace, vec_id FROM tracks WHERE label_l1 >= 0"))
@@ -328,18 +331,22 @@ def dashboard_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ordering and export --------------------------------------------------------------------------
 
 _GREEDY = _HOUR_SQL + """, gb AS (SELECT label_l1 * 1000 + label_l2 AS grp, label_l1, label_l2, vec_id AS id, """ + _UNIT.format("mert_full") + """ AS v, COALESCE(bpm, 128.0) AS bpm, TRY_CAST(COALESCE(camelot, '?')[:-2] AS INTEGER) AS hour
-  FROM tracks LEFT JOIN features ON track_id = vec_id LEFT JOIN hours USING (key)),
+  FROM tracks LEFT JOIN features ON track_id = vec_id LEFT JOIN hours USING (key) WHERE label_l1 >= 0),
 spans AS (SELECT grp, CASE WHEN max(bpm) = min(bpm) THEN 1.0 ELSE max(bpm) - min(bpm) END AS rng FROM gb GROUP BY grp),
 s AS (SELECT a.grp, a.id AS i, b.id AS j, 0.5 * (list_dot_product(a.v, b.v) + 1) / 2 + 0.3 * greatest(0.0, 1 - abs(a.bpm - b.bpm) / rng)
   + 0.2 * CASE WHEN a.hour IS NULL OR b.hour IS NULL THEN 0.5 WHEN least(abs(a.hour - b.hour), 12 - abs(a.hour - b.hour)) = 0 THEN 1.0 WHEN least(abs(a.hour - b.hour), 12 - abs(a.hour - b.hour)) = 1 THEN 0.5 ELSE 0.0 END AS sc
   FROM gb a JOIN gb b ON a.grp = b.grp AND a.id <> b.id JOIN spans sp ON sp.grp = a.grp),
 g AS (SELECT grp, [arg_min(id, bpm * 1000000 + id)] AS path FROM gb GROUP BY grp
   UNION ALL SELECT g.grp, list_append(any_value(g.path), arg_max(s.j, (round(s.sc, 12), -s.j))) FROM g JOIN s ON s.grp = g.grp AND s.i = g.path[-1] WHERE NOT list_contains(g.path, s.j) GROUP BY g.grp),
-ordered AS (SELECT gb.label_l1, gb.label_l2, gb.id AS vec_id, CAST(list_position(p.path, gb.id) - 1 AS INTEGER) AS position FROM (SELECT grp, max_by(path, len(path)) AS path FROM g GROUP BY grp) p JOIN gb ON gb.grp = p.grp)"""
+ordered AS (SELECT gb.label_l1, gb.label_l2, gb.id AS vec_id, CAST(list_position(p.path, gb.id) - 1 AS INTEGER) AS position FROM (SELECT grp, max_by(path, len(path)) AS path FROM g GROUP BY grp) p JOIN gb ON gb.grp = p.grp
+  UNION ALL SELECT label_l1, label_l2, vec_id, -1 FROM tracks WHERE label_l1 = -1)"""
 
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.order_clusters(O.with_camelot(_sequence(spark, sf_dir)), ["label_l1", "label_l2"], "vec_id")
+    """All tracks; noise of level 1 has no place."""
+    rows = _sequence(spark, sf_dir)
+    placed = O.order_clusters(O.with_camelot(rows.filter("label_l1 <> -1")), ["label_l1", "label_l2"], "vec_id")
+    return placed.unionByName(rows.filter("label_l1 = -1").select("label_l1", "label_l2", "vec_id", F.lit(-1).alias("position")))
 
 
 @query(with_sql("SELECT label_l1, label_l2, vec_id, position FROM ordered", _GREEDY))

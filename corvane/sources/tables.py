@@ -39,7 +39,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.title(name).alias("title"),
         F.col("p_retailprice").alias("duration_s"),
         (F.col("p_partkey") * 1000).alias("filesize_bytes"),
-        F.concat(F.lit("Electronic---"), "p_type").alias("genre"),
+        F.concat(F.when(F.col("p_partkey") % 3 == 0, "Dance---").otherwise("Electronic---"), "p_type").alias("genre"),  # two raw genres of one simple name
     )
 
 
@@ -60,7 +60,7 @@ tracks AS (
   FROM embeddings),
 catalog AS (
   SELECT p_partkey AS track_id, p_brand || ' - ' || p_name || '.mp3' AS filename, trim(p_brand) AS artist, trim(p_name) AS title,
-         p_retailprice AS duration_s, p_partkey * 1000 AS filesize_bytes, 'Electronic---' || p_type AS genre
+         p_retailprice AS duration_s, p_partkey * 1000 AS filesize_bytes, CASE WHEN p_partkey % 3 = 0 THEN 'Dance---' ELSE 'Electronic---' END || p_type AS genre
   FROM part),
 features AS (
   SELECT e.vec_id AS track_id, CAST({TEMPO_LOW} + p_size % {TEMPO_STEPS} AS DOUBLE) AS bpm, [{_KEY_LIST}][CAST(e.vec_id % {len(KEYS)} + 1 AS INTEGER)] AS key

@@ -83,7 +83,7 @@ def test_pca_keeps_distances(spark):
 
 def test_two_levels_contract(spark):
     x, truth = blobs(3, 24)
-    inner = np.random.default_rng(3).standard_normal((72, 4)) + 9.0 * (np.arange(72) % 2)[:, None]
+    inner = np.random.default_rng(3).standard_normal((72, 4)) + 9.0 * np.where((np.arange(72) % 2)[:, None], 1, [1, -1, 1, -1])  # apart by direction
     df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, inner, strict=True))], "id long, perc array<double>, full array<double>")
     out = L.two_levels(df, L.HDBSCAN(6, 1), L.HDBSCAN(4, 2), pca=0).orderBy("id").collect()
     assert [r["id"] for r in out] == list(range(72)) and same_partition([r["label_l1"] for r in out], truth)
@@ -289,7 +289,7 @@ def test_older_generations(spark):
 def test_every_document_has_its_uids(spark):
     import hashlib
 
-    from corvane.plans.catalog_queries import track_uids_all
+    from corvane.plans.catalog_queries import track_uids
 
     root = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "source").collect()
@@ -298,13 +298,13 @@ def test_every_document_has_its_uids(spark):
         b = text.encode()
         expected[doc] = (hashlib.sha256(b).hexdigest(), hashlib.sha256(b[:64] + str(len(b)).encode()).hexdigest(), hashlib.sha1(f"{source}/{doc}".encode()).hexdigest(), hashlib.md5(b).hexdigest()[:8])
     assert any(not r["text"][:64].isascii() for r in rows)
-    assert {r["doc_id"]: tuple(r)[1:] for r in track_uids_all(spark, root).collect()} == expected
+    assert {r["doc_id"]: tuple(r)[1:] for r in track_uids(spark, root).collect()} == expected
 
 
 def test_marks_and_labels_come_from_all_events(spark, tmp_path):
     from datetime import datetime
 
-    from corvane.plans.catalog_queries import checkpoint_marks_all, cluster_sort_all
+    from corvane.plans.catalog_queries import checkpoint_marks, cluster_sort
 
     rows = [(i, i % 3 + 6, "late" if i > 900 else "early", datetime(2024, 1, 1)) for i in range(990)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
@@ -313,6 +313,41 @@ def test_marks_and_labels_come_from_all_events(spark, tmp_path):
         mark = event if (event + 1) % 25 == 0 else None
         last[user] = event if mark is not None else last.get(user)
         expected.add((user, event, mark, last[user]))
-    assert {tuple(r) for r in checkpoint_marks_all(spark, str(tmp_path)).collect()} == expected
-    labels = [r["label"] for r in cluster_sort_all(spark, str(tmp_path)).orderBy("place").collect()]
+    assert {tuple(r) for r in checkpoint_marks(spark, str(tmp_path)).collect()} == expected
+    labels = [r["label"] for r in cluster_sort(spark, str(tmp_path)).orderBy("place").collect()]
     assert {"early", "late", "Noise"} < set(labels) and len(labels) == len(set(labels)) == 26
+
+
+def test_genres_are_voted_by_their_simple_names(spark):
+    raw = ["X---House"] * 3 + ["Y---House"] * 2 + ["X---Techno", "Z--- ", "", None]
+    df = spark.createDataFrame([(0, g) for g in raw], "label_l1 int, genre string")
+    from corvane.operators import naming as N
+
+    assert N.top_genres(df, ["label_l1"]).first()["genres"] == "House / Techno"
+    named = spark.createDataFrame([("A", "X---Drum_n_Bass"), ("A", "X---Drum_n_Bass"), ("A", "Y---Dub")], "letter string, genre string")
+    assert N.genre_folders(named, "letter", "genre").first()["folder"] == "Drum_n_Bass_[Drum_n_Bass_Dub]"
+
+
+def test_majority_takes_the_smaller_name_on_ties(spark):
+    from corvane.operators import naming as N
+
+    df = spark.createDataFrame([(1, "abc"), (1, "ab"), (2, "b"), (2, "b"), (2, "a"), (3, None)], "g int, v string")
+    assert {r["g"]: r["v"] for r in N.majority(df, "g", "v").collect()} == {1: "ab", 2: "b"}
+
+
+def test_two_levels_cluster_directions(spark):
+    """Lengths don't matter, and large clusters are reduced by components of their own."""
+    rng = np.random.default_rng(5)
+    axes = np.linalg.qr(rng.standard_normal((12, 12)))[0]
+    rows = []
+    for i in range(60):
+        top, sub = i % 2, i // 2 % 2
+        scale = 10.0 ** rng.integers(-2, 3)
+        perc = axes[top] + 0.02 * rng.standard_normal(12)
+        full = axes[2 + top] + 0.8 * axes[4 + sub] + 0.02 * rng.standard_normal(12)
+        rows.append((f"t{i:02}", (scale * perc).tolist(), (scale * full).tolist()))
+    out = L.two_levels(spark.createDataFrame(rows, "id string, perc array<double>, full array<double>"), L.HDBSCAN(6, 1), L.HDBSCAN(4, 2), pca=3).orderBy("id").collect()
+    assert same_partition([r["label_l1"] for r in out], [i % 2 for i in range(60)])
+    for top in (0, 1):
+        some = [i for i in range(60) if i % 2 == top]
+        assert same_partition([out[i]["label_l2"] for i in some], [i // 2 % 2 for i in some])
