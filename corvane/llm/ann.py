@@ -31,6 +31,8 @@ SAMPLE_ROWS = 16_384
 LIST_ROWS, MAX_LISTS = 1_000, 4_096
 #: A list of more vectors is scanned in blocks of about this size.
 BLOCK_ROWS = 4_096
+#: So are a list's queries.
+QUERY_ROWS = 16_384
 #: Columns in a block, and the width of the test: a wrong abandonment is rarer the larger it is.
 COLUMNS, EPSILON = 16, 2.1
 #: Share of the sample's neighbours that the probed lists must hold.
@@ -119,20 +121,29 @@ def _best(query_ids: np.ndarray, query_vectors: np.ndarray, ids: np.ndarray, vec
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose vec_id ``every`` divides.
 
-    Null, empty, zero or non-finite vectors take no part, nor do vectors whose length isn't the
-    table's most frequent one, nor null ids. A repeated id asks once and is found once per row; rows
-    with the query's own id are never found. A query without any candidate gives no row, as does an
-    empty table. Other columns are ignored.
+    Null, empty, zero or non-finite vectors take no part, nor do null ids. Vectors of different
+    lengths have no inner product, so each length is searched by itself; there are few. A repeated id
+    asks once, with the smallest of its vectors, and is found once per row; rows with the query's own
+    id are never found. Ties go to the smaller vec_id. A query without any candidate gives no row, as
+    does an empty table. Other columns, whatever their names, are ignored. Long vectors are held whole,
+    a block of rows at a time.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = as_double(vectors.select("vec_id", "embedding")).filter(valid() & F.col("vec_id").isNotNull())
-    schema = "query_id long, rank int, vec_id long, score double"
-    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)).alias("top")).orderBy(F.desc("n"), "size").first()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.filter(F.size("embedding") == sizes["size"])
-    fitted = fit(sample_matrix(rows, "vec_id", "embedding", SAMPLE_ROWS), float(np.sqrt(sizes["top"])), sizes["n"], k, target)
+    longest = F.max(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
+    lengths = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"), longest.alias("top")).orderBy("size").collect()
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if not lengths else None
+    for r in lengths:
+        same = F.size("embedding") == r["size"]
+        found = _of_one_length(rows.filter(same), asked.filter(same), r["n"], float(np.sqrt(r["top"])), k, target)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _of_one_length(rows: DataFrame, asked: DataFrame, n: int, longest: float, k: int, target: float) -> DataFrame:
+    fitted = fit(sample_matrix(rows, "vec_id", "embedding", SAMPLE_ROWS), longest, n, k, target)
 
     def assign(frames):
         for pdf in frames:
@@ -143,7 +154,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TA
     # at most MAX_LISTS rows
     sizes = listed.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
     listed = listed.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
 
     def probe(frames):
         for pdf in frames:
@@ -171,8 +181,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TA
         return pd.concat(out)
 
     def ask(queries: DataFrame) -> DataFrame:
+        # at most MAX_LISTS rows; every block of a list's queries meets every block of its vectors
+        turns = queries.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("turns"))
+        queries = queries.join(F.broadcast(turns), "list").withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int")).drop("turns")
         queries = queries.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        return listed.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+        held = listed.join(F.broadcast(turns), "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
+        return held.groupBy("list", "block", "turn").cogroup(queries.groupBy("list", "block", "turn")).applyInPandas(search, "query_id long, vec_id long, score double")
 
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near = materialize(ask(asked.select("vec_id", "embedding", F.col("probes")[0].alias("list"), F.lit(None).cast("double").alias("floor"))), "near")

@@ -191,6 +191,29 @@ def test_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_over_many_lists(spark, monkeypatch):
+    """Some 40 lists, of which not all are probed; a hot list whose vectors and queries go in blocks."""
+    for name, value in (("LIST_ROWS", 50), ("BLOCK_ROWS", 64), ("QUERY_ROWS", 16)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 16)) * 3
+    x = centres[np.where(rng.random(2000) < 0.3, 0, rng.integers(0, 40, 2000))] + 0.6 * rng.standard_normal((2000, 16))
+    fitted = ann.fit(x, float(np.sqrt((x**2).sum(axis=1).max())), len(x), 20)
+    assert len(fitted.centroids) >= 32 and fitted.probes < len(fitted.centroids)
+    out = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    kth = np.sort(score, axis=1)[:, -20]
+    assert len(out) == 2000
+    assert sum(r["score"] >= kth[r["query_id"]] - 1e-9 for r in out) / 2000 >= 0.9
+
+
+def test_every_length_is_searched(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 1.0]), (20, [1.0, 0.0, 0.0]), (21, [2.0, 0.0, 0.0]), (22, [0.5, 0.0, 1.0]), (40, [5.0]), (0, [0.5, 9.0])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == [(0, 1, 1, 10.5), (20, 1, 21, 2.0), (20, 2, 22, 0.5)]
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in ann.nearest(df).collect()] == [(1, 2), (2, 3), (3, 1)]
