@@ -81,9 +81,29 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
-def in_list_order(uids: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """The catalog rows of a numbered list, in its order, repeats kept; ``row_idx`` carries the order."""
-    return uids.join(catalog, key).orderBy("row_idx")
+def in_list_order(uids: DataFrame, catalog: DataFrame, key: str, keep_missing: bool = False) -> DataFrame:
+    """The catalog rows of a numbered list, in its order, repeats kept; ``row_idx`` carries the order.
+
+    Keys that the catalog lacks go, or stay with nulls.
+    """
+    return uids.join(catalog, key, "left" if keep_missing else "inner").orderBy("row_idx")
+
+
+def zipped(uids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of a matrix (row_idx, ...) with the ids (row_idx, ...) of the same places; both must be equally long."""
+    n, m = uids.count(), rows.count()
+    if n != m:
+        raise ValueError(f"{n} ids for {m} rows")
+    return uids.join(rows, "row_idx")
+
+
+def with_manifest(features: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """Features with what the manifest says of each; one without an entry is an error."""
+    out = features.join(manifest, key)
+    n, m = features.count(), out.count()
+    if n != m:
+        raise ValueError(f"{n} feature rows, {m} of them in the manifest")
+    return out
 
 
 def stable_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

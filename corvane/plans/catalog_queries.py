@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from corvane.functions import text
 from corvane.operators import catalog as C
+from corvane.operators import export as X
 from corvane.operators import naming as N
 from corvane.plans.registry import query
+from corvane.sources import files
 from corvane.sources.tables import catalog, features, read, tracks, with_sql
 
 STEM = "regexp_replace({0}, '\\.[^.]+$', '')"
@@ -204,17 +206,16 @@ def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS artifact, arg_max(event_id, (ts, event_id)) AS latest, COALESCE(arg_max(event_id, (ts, event_id)) FILTER (user_id % 7 = 0), arg_max(event_id, (ts, event_id))) AS latest_mapped FROM events GROUP BY event_type")
 def latest_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = F.struct("ts", "event_id")
-    mapped = F.max_by("event_id", F.struct((F.col("user_id") % 7 == 0).cast("int").alias("m"), F.col("ts"), F.col("event_id")))
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("artifact")).agg(F.max_by("event_id", newest).alias("latest"), mapped.alias("latest_mapped"))
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("artifact"), F.col("event_id").alias("path"), F.col("ts").alias("mtime"), F.when(F.col("user_id") % 7 == 0, 1.5).otherwise(0.0).alias("umap_x"))
+    newest = files.latest(events, "path", "mtime", ("artifact",)).withColumnRenamed("path", "latest")
+    return newest.join(files.latest_with_map(events, ("artifact",)).withColumnRenamed("path", "latest_mapped"), "artifact")
 
 
 @query("SELECT COALESCE(max(CAST(regexp_extract(name, '^V4_([0-9]+)$', 1) AS INTEGER)), 0) + 1 AS next_version FROM (SELECT 'V4_' || n_nationkey AS name FROM nation UNION ALL SELECT 'V4_x' || n_nationkey FROM nation UNION ALL SELECT n_name FROM nation) WHERE regexp_matches(name, '^V4_[0-9]+$')")
 def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
     names = n.select(F.concat(F.lit("V4_"), F.col("n_nationkey").cast("string")).alias("name")).unionByName(n.select(F.concat(F.lit("V4_x"), F.col("n_nationkey").cast("string")).alias("name"))).unionByName(n.select(F.col("n_name").alias("name")))
-    found = names.filter(F.col("name").rlike(r"^V4_\d+$")).select(F.regexp_extract("name", r"^V4_(\d+)$", 1).cast("int").alias("v"))
-    return found.agg((F.coalesce(F.max("v"), F.lit(0)) + 1).alias("next_version"))
+    return spark.createDataFrame([(X.next_version(names),)], "next_version int")
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS n, round(avg(value), 6) AS mean_ms, max(CAST(json_extract(props, '$.k') AS INTEGER)) AS max_k FROM events GROUP BY ALL")
@@ -282,3 +283,26 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.session_window("ts", "4 hours")
     return read(spark, sf_dir, "events").groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query(with_sql("SELECT vec_id, label_l1 AS label FROM tracks"))
+def letter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters read back as labels."""
+    return tracks(spark, sf_dir).select("vec_id", text.letter_label(text.letters("label_l1")).alias("label"))
+
+
+@query(with_sql("SELECT row_idx, uid, title FROM (SELECT vec_id * 2 AS row_idx, vec_id * 3 AS uid FROM embeddings UNION ALL SELECT vec_id * 2 + 1, vec_id FROM embeddings) LEFT JOIN catalog ON track_id = uid"))
+def list_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read(spark, sf_dir, "embeddings")
+    listed = ids.select((F.col("vec_id") * 2).alias("row_idx"), (F.col("vec_id") * 3).alias("uid")).unionByName(ids.select((F.col("vec_id") * 2 + 1).alias("row_idx"), F.col("vec_id").alias("uid")))
+    return C.in_list_order(listed, catalog(spark, sf_dir).select(F.col("track_id").alias("uid"), "title"), "uid", keep_missing=True).select("row_idx", "uid", "title")
+
+
+@query("SELECT e.vec_id AS row_idx, 'u' || (e.vec_id * 7) AS uid, round(CAST(e.embedding[1] AS DOUBLE), 6) AS head, e.label AS shard FROM embeddings e")
+def shard_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and matrix rows by place, then the manifest of each."""
+    e = read(spark, sf_dir, "embeddings")
+    ids = e.select(F.col("vec_id").alias("row_idx"), F.concat(F.lit("u"), (F.col("vec_id") * 7).cast("string")).alias("uid"))
+    rows = C.zipped(ids, e.select(F.col("vec_id").alias("row_idx"), F.round(F.col("embedding")[0].cast("double"), 6).alias("head")))
+    manifest = e.select(F.concat(F.lit("u"), (F.col("vec_id") * 7).cast("string")).alias("uid"), F.col("label").alias("shard"))
+    return C.with_manifest(rows, manifest, "uid").select("row_idx", "uid", "head", "shard")

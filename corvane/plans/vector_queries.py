@@ -429,3 +429,35 @@ def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projection_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ProjectionHead.random(64, 32, 16).apply(_points(spark, sf_dir))
     return out.select("id", F.round(vectors.norm("vector"), 6).alias("length"), F.size("vector").alias("width"))
+
+
+# --- properties and signal preparation --------------------------------------------------------------
+
+@query(with_sql("SELECT vec_id, CAST(80 AS BIGINT) AS padded, round(list_sum(mert_full), 6) AS total, round(list_sum(mert_full[1:40]), 6) AS cut, round((mert_full[1] + mert_full[33]) / 2, 6) AS mono_first, round((mert_full[32] + mert_full[64]) / 2, 6) AS mono_last, round((mert_full[17] + mert_full[33] + mert_full[49]) / 3, 6) AS layer FROM tracks"))
+def signal_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as signals: filled up, cut, brought from two channels to one; the last three of four layers pooled."""
+    v = tracks(spark, sf_dir).select("vec_id", "mert_full")
+
+    def total(x):
+        return F.round(F.aggregate(x, F.lit(0.0), lambda s, y: s + y), 6)
+
+    padded, mono = vectors.cropped("mert_full", 80), vectors.mono(F.array(F.slice("mert_full", 1, 32), F.slice("mert_full", 33, 32)))
+    layers = vectors.last_layers(F.array(*(F.slice("mert_full", 1 + 16 * i, 16) for i in range(4))), 3)
+    return v.select("vec_id", F.size(padded).cast("long").alias("padded"), total(padded).alias("total"), total(vectors.cropped("mert_full", 40)).alias("cut"), F.round(mono[0], 6).alias("mono_first"), F.round(mono[31], 6).alias("mono_last"), F.round(layers[0], 6).alias("layer"))
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS noise, CAST(0 AS BIGINT) AS moved, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS undivided FROM embeddings")
+def two_level_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of two levels with noise assigned: none is left, only noise moved, labels have no gaps, small parents have one subcluster."""
+    rows = two_level_clusters(spark, sf_dir)
+    moved = ((F.col("label_l1_raw") != -1) & (F.col("label_l1_raw") != F.col("label_l1"))) | ((F.col("label_l2_raw") != -1) & (F.col("label_l2_raw") != F.col("label_l2")))
+    of = Window.partitionBy("label_l1")
+    rows = rows.withColumns({"_n": F.count("*").over(of), "_top": F.max("label_l2_raw").over(of), "_kinds": F.size(F.collect_set(F.when(F.col("label_l2_raw") >= 0, F.col("label_l2_raw"))).over(of))})
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("label_l1") == -1).alias("noise"), F.count_if(moved).alias("moved"), F.count_if(F.col("_top") + 1 != F.col("_kinds")).alias("gaps"), F.count_if((F.col("_n") < 8) & (F.col("label_l2") != 0)).alias("undivided"))
+
+
+@query(with_sql("SELECT count(*) AS n_tracks, true AS complete FROM files", _EXPORT))
+def export_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the playlists hold every track that the catalog has."""
+    n = tracks(spark, sf_dir).join(catalog(spark, sf_dir), F.col("vec_id") == F.col("track_id"), "left_semi").count()
+    return spark.createDataFrame([(n, X.check_total(_playlists(spark, sf_dir), n))], "n_tracks long, complete boolean")

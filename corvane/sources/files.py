@@ -118,15 +118,15 @@ def discover_datasets(spark: SparkSession, root: str, marker: str = "*.parquet")
     return files.select(F.substring_index(rest, "/", 1).alias("dataset")).distinct()
 
 
-def latest(files: DataFrame, name: str = "path", time: str = "modificationTime") -> DataFrame:
-    """One row: the newest file of a listing."""
-    return files.agg(F.max_by(name, F.struct(time, name)).alias(name))
+def latest(files: DataFrame, name: str = "path", time: str = "modificationTime", by: tuple[str, ...] = ()) -> DataFrame:
+    """The newest file of a listing, or of each group; of equally new ones the last by name."""
+    return files.groupBy(*by).agg(F.max_by(name, F.struct(time, name)).alias(name))
 
 
-def latest_with_map(rows: DataFrame) -> DataFrame:
-    """One row: the newest of results files (path, mtime, umap_x) that has a real map, else the newest."""
-    per = rows.groupBy("path").agg(F.max("mtime").alias("mtime"), (F.sum(F.abs("umap_x")) > 0).alias("mapped"))
-    return per.agg(F.max_by("path", F.struct("mapped", "mtime")).alias("path"))
+def latest_with_map(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The newest of results files (path, mtime, umap_x), or of each group's, that has a real map, else the newest."""
+    per = rows.groupBy(*by, "path").agg(F.max("mtime").alias("mtime"), (F.sum(F.abs("umap_x")) > 0).alias("mapped"))
+    return per.groupBy(*by).agg(F.max_by("path", F.struct("mapped", "mtime", "path")).alias("path"))
 
 
 def check_matrix(rows: DataFrame, vector: str, size: int) -> DataFrame:

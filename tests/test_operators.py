@@ -351,3 +351,15 @@ def test_two_levels_cluster_directions(spark):
     for top in (0, 1):
         some = [i for i in range(60) if i % 2 == top]
         assert same_partition([out[i]["label_l2"] for i in some], [i // 2 % 2 for i in some])
+
+
+def test_places_and_manifests_must_match(spark):
+    ids = spark.createDataFrame([(0, "a"), (1, "b")], "row_idx long, uid string")
+    rows = spark.createDataFrame([(0, 0.5), (1, 1.5)], "row_idx long, x double")
+    assert sorted((r["uid"], r["x"]) for r in C.zipped(ids, rows).collect()) == [("a", 0.5), ("b", 1.5)]
+    with pytest.raises(ValueError, match="2 ids for 1 rows"):
+        C.zipped(ids, rows.limit(1))
+    with pytest.raises(ValueError, match="1 of them"):
+        C.with_manifest(ids, ids.filter("uid = 'a'").select("uid"), "uid")
+    kept = C.in_list_order(ids, ids.filter("uid = 'a'").select("uid", F.lit(7).alias("n")), "uid", keep_missing=True).collect()
+    assert [(r["uid"], r["n"]) for r in kept] == [("a", 7), ("b", None)]
