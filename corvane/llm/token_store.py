@@ -6,11 +6,13 @@ Layout of a store, all integers little-endian:
                   vocabulary has at most 65,536 ids, else four. Nothing else: byte 2 * k (or 4 * k) is id k.
 ``<bucket>.mph``  the entries of the keys that hash to this bucket, at their minimal perfect hash:
                   a 32-bit fingerprint of the key, the shard's number, the first id there, the count.
-``shards.json``   per shard: its file and the number of ids before it; width, buckets and seeds.
+``<block>.dir``   a record of fixed size for every shard of a block of ranges: ids before it, its ids,
+                  its file's name. A shard's number is its block and its place there.
+``store.json``    width, buckets, ids, documents and shards.
 
 Shards are written by range of doc_id, so concatenating them in order gives the whole corpus in
-order. Looking a key up takes one hash, one bit vector rank and one ranged read; a key that was
-never written is refused by its fingerprint (up to one in 2^32).
+order. Looking a key up takes one hash, one bit vector rank and two ranged reads, of its shard's
+record and of its ids; a key that was never written is refused by its fingerprint (up to one in 2^32).
 
 A repeated doc_id is told apart by its occurrence number, counted from 0 in the order of the texts.
 A null doc_id has keys of its own and sorts first.
@@ -31,6 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.llm import tokens
 from corvane.llm.common import bounded_batches, materialize, scratch, splitmix
@@ -43,7 +46,10 @@ KEYS_PER_BUCKET = 200_000
 #: Bits per remaining key in each level of the hash.
 _GAMMA = 2
 _MAGIC = b"TIDX0001"
-_ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("count", "<u8")])
+#: Ranges of doc_id whose shards share a directory file; the driver gets one row per that many.
+DIRECTORY_PARTS = 1024
+_SHARD = "<QQ64s"  # ids before, ids, file
+_ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u8"), ("start", "<u8"), ("count", "<u8")])
 
 
 def _place(path: str) -> tuple[pafs.FileSystem, str]:
@@ -204,29 +210,37 @@ def write_store(docs: DataFrame, tokenizer: str | None = None, root: str | None
     ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     entries = materialize(ordered.mapInArrow(write, "doc_id long, occurrence long, part int, file string, start long, count long"), "entries")
 
-    # One row per shard file reaches the driver: their number is the corpus size over the shard size.
-    files = entries.groupBy("part", "file").agg(F.sum("count").alias("ids"), F.count("*").alias("docs")).orderBy("part", "file").collect()
-    base, total = [], 0
-    for f in files:
-        base.append(total)
-        total += f["ids"]
-    n = sum(f["docs"] for f in files)
+    per_file = entries.groupBy("part", "file").agg(F.sum("count").alias("ids"), F.count("*").alias("docs"))
+    per_file = per_file.withColumn("block", F.floor(F.col("part") / DIRECTORY_PARTS).cast("long"))
+    in_order = Window.partitionBy("block").orderBy("part", "file")
+    before = F.coalesce(F.sum("ids").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = materialize(per_file.withColumns({"place": F.row_number().over(in_order) - 1, "before": before}), "shards")
+    # One row per DIRECTORY_PARTS ranges reaches the driver: 24 GB of text each.
+    blocks = listed.groupBy("block").agg(F.sum("ids").alias("ids"), F.sum("docs").alias("docs"), F.count("*").alias("shards")).orderBy("block").collect()
+    n = sum(b["docs"] for b in blocks)
     buckets = max(1, -(-n // KEYS_PER_BUCKET))
-    number = spark.createDataFrame([(f["file"], k) for k, f in enumerate(files)], "file string, shard long")
+    ends = np.cumsum([0, *(b["ids"] for b in blocks)]).tolist()
+
+    def directory(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        _write(f"{root}/{int(key[0]):06d}.dir", b"".join(struct.pack(_SHARD, *r) for r in zip(pdf["before"] + pdf["ahead"], pdf["ids"], pdf["file"].str.encode("ascii"), strict=True)))
+        return pd.DataFrame({"block": [int(key[0])], "shards": [len(pdf)]})
 
     def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = key_hash(pdf["doc_id"].to_numpy(), pdf["null"].to_numpy(), pdf["occurrence"].to_numpy())
         _write(f"{root}/{int(key[0]):06d}.mph", dump_index(h, pdf["shard"].to_numpy(), pdf["start"].to_numpy(), pdf["count"].to_numpy()))
         return pd.DataFrame({"bucket": [int(key[0])], "keys": [len(pdf)]})
 
+    _place(root)[0].create_dir(_place(root)[1])
     if n:
-        keyed = entries.join(F.broadcast(number), "file")  # one row per shard file
+        ahead = spark.createDataFrame([(b["block"], e) for b, e in zip(blocks, ends[:-1], strict=True)], "block long, ahead long")
+        written = listed.join(ahead, "block").groupBy("block").applyInPandas(directory, "block long, shards long")
+        keyed = entries.join(listed.select("file", (F.shiftleft("block", 32) + F.col("place")).alias("shard")), "file")
         keyed = with_bucket(keyed, buckets).groupBy("bucket").applyInPandas(index, "bucket long, keys long")
-        if keyed.agg(F.sum("keys")).first()[0] != n:
+        if written.agg(F.sum("shards")).first()[0] != sum(b["shards"] for b in blocks) or keyed.agg(F.sum("keys")).first()[0] != n:
             raise RuntimeError("the index doesn't hold every document")
-    meta = {"width": width, "buckets": buckets, "ids": total, "documents": n, "shards": [{"file": f["file"], "base": b, "ids": f["ids"]} for f, b in zip(files, base, strict=True)]}
-    _place(root)[0].create_dir(_place(root)[1])
-    _write(f"{root}/shards.json", json.dumps(meta).encode())
+    meta = {"width": width, "buckets": buckets, "ids": ends[-1], "documents": n, "shards": sum(b["shards"] for b in blocks)}
+    _write(f"{root}/store.json", json.dumps(meta).encode())
     return root, entries.select("doc_id", "occurrence")
 
 
@@ -236,7 +250,16 @@ def with_bucket(keys: DataFrame, buckets: int) -> DataFrame:
 
 
 def read_meta(root: str) -> dict:
-    return json.loads(_read(f"{root}/shards.json"))
+    """What ``store.json`` holds; the shards as a range over their count."""
+    meta = json.loads(_read(f"{root}/store.json"))
+    return meta | {"shards": range(meta["shards"])}
+
+
+def read_shard(root: str, shard: int) -> tuple[int, int, str]:
+    """A shard's record by one ranged read: ids before it, its ids, its file."""
+    size = struct.calcsize(_SHARD)
+    before, ids, name = struct.unpack(_SHARD, _read(f"{root}/{shard >> 32:06d}.dir", (shard & 0xFFFFFFFF) * size, size))
+    return before, ids, name.rstrip(b"\0").decode("ascii")
 
 
 def lookup(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
@@ -258,14 +281,12 @@ def read_documents(spark: SparkSession, root: str, keys: DataFrame, with_ids: bo
     """Read documents back by key: doc_id, start (ids of all before), n_tokens, ids_crc32 and, if asked for, ids."""
     meta = read_meta(root)
     width, kind = meta["width"], f"<u{meta['width']}"
-    files = [s["file"] for s in meta["shards"]]
-    base = [s["base"] for s in meta["shards"]]
 
     def read(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(key[0])
-        data = _read(f"{root}/{files[k]}")
+        before, _, file = read_shard(root, int(key[0]))
+        data = _read(f"{root}/{file}")
         spans = [np.frombuffer(data, kind, n, at * width).astype("<u4") for at, n in zip(pdf["start"], pdf["count"], strict=True)]
-        out = pd.DataFrame({"doc_id": pdf["doc_id"], "start": pdf["start"] + base[k], "n_tokens": pdf["count"], "ids_crc32": [zlib.crc32(x.tobytes()) for x in spans]})
+        out = pd.DataFrame({"doc_id": pdf["doc_id"], "start": pdf["start"] + before, "n_tokens": pdf["count"], "ids_crc32": [zlib.crc32(x.tobytes()) for x in spans]})
         if with_ids:
             out["ids"] = [x.astype(np.int64) for x in spans]
         return out
@@ -275,7 +296,7 @@ def read_documents(spark: SparkSession, root: str, keys: DataFrame, with_ids: bo
 
 
 def read_one(root: str, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
-    """One document's ids by three reads: the list of shards, its index bucket, its span. None if it isn't there."""
+    """One document's ids by four reads: the store's figures, its index bucket, its shard's record, its span. None if it isn't there."""
     meta = read_meta(root)
     if not meta["documents"]:
         return None
@@ -287,4 +308,4 @@ def read_one(root: str, doc_id: int | None, occurrence: int = 0) -> np.ndarray |
     if not ok[0]:
         return None
     at, n, w = int(entry["start"][0]), int(entry["count"][0]), meta["width"]
-    return np.frombuffer(_read(f"{root}/{meta['shards'][int(entry['shard'][0])]['file']}", at * w, n * w), f"<u{w}")
+    return np.frombuffer(_read(f"{root}/{read_shard(root, int(entry['shard'][0]))[2]}", at * w, n * w), f"<u{w}")
