@@ -11,7 +11,7 @@ holds a small table and adds up its entries over whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,34 +49,35 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (place, bucket): the hashed features of all texts and the text's number that each is in.
 
-    Texts over the chunk are taken in several blocks, cut at white space; so no word or n-gram is
-    lost, only a repetition right across such a cut isn't marked.
+    Texts over the chunk are taken in several blocks, cut at white space; each block knows the last
+    word of the one before, so a text's features don't depend on where it is cut.
     """
     block: list[tuple[int, bytes]] = []
-    size = 0
+    size, last = 0, (-1, 0)
     for k, text in enumerate(texts):
         for piece in _cut(text):
             if size + len(piece) > _CHUNK and block:
-                yield from _block(block)
+                last = yield from _block(block, last)
                 block, size = [], 0
             block.append((k, piece))
             size += len(piece) + 1
     if block:
-        yield from _block(block)
+        yield from _block(block, last)
 
 
 def _cut(text: bytes) -> Iterator[bytes]:
     at = 0
     while len(text) - at > _CHUNK:
         to = max(text.rfind(c, at, at + _CHUNK) for c in (b" ", b"\n", b"\t", b"\r"))
-        if to <= at:
-            break
+        if to <= at:  # a word longer than the chunk stays whole
+            to = min((i for i in (text.find(c, at + _CHUNK) for c in (b" ", b"\n", b"\t", b"\r")) if i >= 0), default=len(text))
         yield text[at:to]
         at = to
     yield text[at:]
 
 
-def _block(block: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _block(block: list[tuple[int, bytes]], last: tuple[int, int]) -> Generator[tuple[np.ndarray, np.ndarray], None, tuple[int, int]]:
+    """Yields the features of one block; takes and returns the last word so far, as its text's number and its hash."""
     a = np.frombuffer(b"\n" + b"\n".join(t for _, t in block) + b"\n", np.uint8)
     doc = np.repeat([k for k, _ in block], [len(t) + 1 for _, t in block])
     doc = np.concatenate([doc[:1], doc])  # of each byte; the leading boundary goes with the first text
@@ -84,7 +85,7 @@ def _block(block: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndar
     x = np.where(space, np.uint64(0), a.astype(np.uint64))
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     if not len(starts):
-        return
+        return last
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
     at = np.arange(len(a)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(a)]])))
     power = np.cumprod(np.full(int((ends - starts).max()) + 1, 0x100000001B3, np.uint64))
@@ -92,7 +93,7 @@ def _block(block: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndar
     word = np.add.reduceat(coded, starts) + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     own = doc[starts]
     yield own, _bucket(word)
-    again = np.flatnonzero((word[1:] == word[:-1]) & (own[1:] == own[:-1])) + 1
+    again = np.flatnonzero((word == np.append(np.uint64(last[1]), word[:-1])) & (own == np.append(last[0], own[:-1])))
     yield own[again], np.full(len(again), _REPEAT)
     inner = ~space
     gram = x[:-1] << np.uint64(8) | x[1:]
@@ -103,6 +104,7 @@ def _block(block: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndar
         if n in NGRAMS:
             here = np.flatnonzero(clear)
             yield doc[here + 1], _bucket(gram[here] + np.uint64(n << 56))
+    return int(own[-1]), int(word[-1])
 
 
 @dataclass
@@ -185,12 +187,21 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Learn from ``labels`` (doc_id, quality) and score every document (doc_id, text)."""
+    """Learn from ``labels`` (doc_id, quality) and score every document (doc_id, text).
+
+    One row per row of ``docs``, repeated and null ids included; other columns are ignored. Null and
+    empty texts have no features and get the model's bias. Long texts are scored whole, in blocks.
+    An empty table gives no rows; without usable labels every score is one half.
+    """
     return score(docs, learn(docs, labels), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, all columns as they are."""
+    """The rows of ``docs`` whose score reaches ``threshold``, all columns as they are.
+
+    Rows are judged one by one as by ``classify``: repeated rows stay or go together, null and empty
+    texts by the model's bias, long texts whole; an empty table stays empty.
+    """
     model = learn(docs, labels)
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
