@@ -7,8 +7,7 @@ hold those against brute force.
 
 from __future__ import annotations
 
-from corvane.llm.mixing import schedule
-from corvane.llm.queries import MIX_PARTS, url_rules
+from corvane.llm.queries import url_rules
 from corvane.llm.url_filter import BLOCK
 
 _RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in url_rules())
@@ -52,13 +51,15 @@ FROM w LEFT JOIN kept USING (doc_id) GROUP BY w.doc_id
 """
 
 
-def _mixing(sources: list[str], block: int = 64) -> str:
-    plan = schedule(MIX_PARTS, sources, 1)
-    values = ", ".join(f"('{s}', {n}, {slots})" for s, n, slots, _, _ in plan)
-    return f"""
-WITH plan AS (SELECT * FROM (VALUES {values}) t(source, n, slots)),
+#: Fixed value: the owners of the 25 slots of one period, earliest deadline first, simulated apart from the operator.
+PERIOD = "src0 src1 src2 src10 src11 src12 src0 src13 src14 src15 src16 src17 src0 src1 src18 src19 src2 src3 src0 src4 src5 src6 src7 src8 src9"
+_SLOTS = ", ".join(f"({t}, '{s}')" for t, s in enumerate(PERIOD.split()))
+
+_MIXING = f"""
+WITH period AS (SELECT * FROM (VALUES {_SLOTS}) t(t, source)),
+plan AS (SELECT source, count(*) AS n, list(t ORDER BY t) AS slots FROM period GROUP BY source),
 ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS r FROM documents),
-placed AS (SELECT doc_id, source, r, r // {block} AS block, (r // {block}) // n * {plan[0][-1]} + slots[CAST(r // {block} % n + 1 AS INTEGER)] AS slot FROM ranked JOIN plan USING (source))
+placed AS (SELECT doc_id, source, r, r // 64 AS block, (r // 64) // n * (SELECT count(*) FROM period) + slots[CAST(r // 64 % n + 1 AS INTEGER)] AS slot FROM ranked JOIN plan USING (source))
 SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot, row_number() OVER (ORDER BY slot, r) - 1 AS position FROM placed
 """
 
@@ -67,5 +68,5 @@ SQL = {
     "op2_url_filters": _URLS.strip(),
     "op7_substring_dedup": _WORDS.strip(),
     "op8_embedding_near_dedup": _LINKS.strip(),
-    "op9_mixing": _mixing([f"src{i}" for i in range(20)]).strip(),
+    "op9_mixing": _MIXING.strip(),
 }
