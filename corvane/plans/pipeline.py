@@ -155,4 +155,4 @@ def main(args: list[str] | None = None) -> None:
         "export": lambda: engine.export(a.windows_audio_dir, a.config_tag),
         "evaluate": lambda: engine.evaluate(a.config_tag, a.dev_set),
     }[a.phase]()
-    print(phase if isinstance(phase, dict) else f"{a.phase}: {phase.count()} rows")
+    print(M.report(phase) if isinstance(phase, dict) else f"{a.phase}: {phase.count()} rows")

@@ -363,3 +363,9 @@ def test_places_and_manifests_must_match(spark):
         C.with_manifest(ids, ids.filter("uid = 'a'").select("uid"), "uid")
     kept = C.in_list_order(ids, ids.filter("uid = 'a'").select("uid", F.lit(7).alias("n")), "uid", keep_missing=True).collect()
     assert [(r["uid"], r["n"]) for r in kept] == [("a", 7), ("b", None)]
+
+
+def test_report_of_an_evaluation():
+    scores = {"n_tracks": 12, "n_clusters": 2, "noise_rate_l1": 0.25, "cluster_sizes": {"10": 4, "2": 5}, "per_cluster": {"10": {"n_subclusters": 3, "noise_rate_l2": 0.5}}, "ari": 0.5, "composite": 0.5}
+    assert M.report(scores).splitlines() == ["12 tracks in 2 clusters, 25.0% noise", "cluster 2: 5 tracks, 1 subclusters, 0% noise within", "cluster 10: 4 tracks, 3 subclusters, 50% noise within", "ari: 0.5000", "composite: 0.5000"]
+    assert M.report({"n_tracks": 0, "n_clusters": 0, "noise_rate_l1": None, "cluster_sizes": {}, "per_cluster": {}}) == "0 tracks in 0 clusters, 0.0% noise"
