@@ -4,15 +4,18 @@
 2. Near copies go by SimHash over shingles of five words; of each group one document stays.
 3. Passages of 20 words or more that occurred before are taken out of the texts.
 4. Sources are mixed to target weights: rows are written in the order of the schedule.
-5. The texts are packed into sequences of at most 1024 tokens.
+5. The texts are packed into sequences of at most 1024 tokens, one stretch of the mixed order after
+   another, so the sequences in the order of their ids keep to the target weights.
 
 Each stage works on all that the one before has written.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.llm import mixing, packing, phrases, quality, simhash
 from corvane.llm.common import materialize, table
@@ -42,8 +45,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.repartitionById(parts, file).sortWithinPartitions("__position").select(*docs.columns)
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """Add __position: each row's place over the files by their names and within each, from 0 without gaps.
+
+    Rows that come from no file are in no order; their places are those of the plan's partitions.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        own = F.monotonically_increasing_id()
+        placed = docs.withColumns({"__file": F.lpad(F.shiftright(own, 33).cast("string"), 10, "0"), "__row": own.bitwiseAND(F.lit((1 << 33) - 1))})
+    files = placed.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))  # one row per file
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = files.select("__file", before.alias("__before"))
+    return placed.join(F.broadcast(ahead), "__file").select(*docs.columns, (F.col("__before") + F.col("__row")).alias("__position"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, capacity=SEQUENCE_TOKENS)
+    """Sequences of each stretch of the order in which the rows were written."""
+    return packing.pack_documents(in_file_order(docs), capacity=SEQUENCE_TOKENS, position="__position")
 
 
 STAGES = [

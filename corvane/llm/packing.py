@@ -27,6 +27,8 @@ from corvane.llm.common import bounded_batches, materialize, spread
 
 #: Pieces dealt to one packer, on average; bounds a packer's memory.
 PIECES_PER_PACKER = 50_000
+#: Documents of one stretch, where packing keeps to their order: many periods of a schedule, few sequences unfilled.
+STRETCH = 4_096
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -90,20 +92,26 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
-    """One row per piece of each document; null text counts as empty, a repeated row as its own document."""
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, position: str | None = None) -> DataFrame:
+    """One row per piece of each document; null text counts as empty, a repeated row as its own document.
+
+    With ``position``, that column follows as ``position``.
+    """
     bounded_batches(docs.sparkSession)
+    more = ["position"] if position else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(tokenizer, batch.column(1)), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for row, (doc, ids) in enumerate(zip(batch.column(0).to_pylist(), tokens.encode(tokenizer, batch.column(1)), strict=True)):
                 for k, (at, n) in enumerate(cut(len(ids), capacity)):
-                    for col, v in zip(out, (doc, k, at, n, zlib.crc32(ids[at : at + n])), strict=True):
+                    for col, v in zip(out, (doc, k, at, n, zlib.crc32(ids[at : at + n]), row), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            kept = [c.take(pa.array(out[5], pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)), *kept], ["doc_id", "piece", "start", "length", "ids_crc32", *more])
 
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(run, _PIECES)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(position).cast("long").alias("position")] if position else []))
+    return spread(slim, "doc_id").mapInArrow(run, _PIECES + ", position long" * bool(position))
 
 
 def pack(pieces: DataFrame, capacity: int, per_packer: int = PIECES_PER_PACKER) -> DataFrame:
@@ -125,11 +133,34 @@ def pack(pieces: DataFrame, capacity: int, per_packer: int = PIECES_PER_PACKER)
     return packed.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024) -> DataFrame:
+def pack_in_order(pieces: DataFrame, capacity: int, stretch: int = STRETCH) -> DataFrame:
+    """Like ``pack``, for pieces with a ``position``: sequences hold pieces of one stretch of positions, and their ids ascend with the stretches."""
+    names = [c for c in pieces.columns if c not in ("position", "sequence_id", "offset")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name in names)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["position", "piece"])
+        length, number, offset = pdf["length"].to_numpy(), np.arange(len(pdf)), np.zeros(len(pdf), np.int64)
+        part = np.flatnonzero(length < capacity)
+        bins, offset[part] = pack_lengths(length[part], capacity)
+        first = np.full(int(bins.max(initial=-1)) + 1, len(pdf))
+        np.minimum.at(first, bins, part)
+        number[part] = first[bins]  # a sequence goes by the first of its pieces
+        return pdf[names].assign(sequence_id=(int(key[0]) << 32) + number, offset=offset)
+
+    rows = pieces.withColumn("_stretch", F.floor(F.col("position") / stretch).cast("long"))
+    return rows.groupBy("_stretch").applyInPandas(one, f"{schema}, sequence_id long, offset long")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, position: str | None = None) -> DataFrame:
     """Pack documents (``doc_id``, ``text``) into sequences of at most ``capacity`` tokens.
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null or
     empty text is the end id alone; a null doc_id stays null; an empty table gives no rows; further
-    columns of ``docs`` are ignored.
+    columns of ``docs`` are ignored. With ``position``, a column of gapless places, sequences follow
+    that order, stretch by stretch.
     """
-    return pack(token_pieces(docs, tokenizer or tokens.default_tokenizer(), capacity), capacity)
+    tokenizer = tokenizer or tokens.default_tokenizer()
+    if position:
+        return pack_in_order(token_pieces(docs, tokenizer, capacity, position), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity), capacity)

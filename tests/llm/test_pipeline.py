@@ -78,6 +78,22 @@ def test_stages(spark, corpus, tmp_path):
     assert pieces == {r[0]: len(ids) for r, ids in zip(texts, tokens.encode(tokens.default_tokenizer(), [r[1] for r in texts]), strict=True)}
 
 
+def test_packing_keeps_to_the_mixed_order(spark, tmp_path, monkeypatch):
+    """Sequences in the order of their ids hold one stretch of the written order after another."""
+    monkeypatch.setattr(packing.pack_in_order, "__defaults__", (20,))
+    rows = [(i, f"text {i} " * (1 + i % 9), "en", f"src{i % 3}", 9) for i in range(150)] + [(150, "long " * 3000, "en", "src0", 15000), (151, None, "en", None, None)]
+    P.mix_sources(spark, spark.createDataFrame(rows, docs_schema()).repartition(3), "").write.parquet(f"{tmp_path}/mixed")
+    order = {r["doc_id"]: r["position"] for r in mixing.mix(spark.createDataFrame(rows, docs_schema()), P.MIX_PARTS).collect()}
+    out = P.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert {r["doc_id"] for r in out} == set(order)
+    stretches = [order[r["doc_id"]] // 20 for r in sorted(out, key=lambda r: r["sequence_id"])]
+    assert stretches == sorted(stretches) and len(set(stretches)) == 8
+    used = defaultdict(list)
+    for r in out:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(at == sum(n for _, n in sorted(x)[:k]) and at + n <= 1024 for x in used.values() for k, (at, n) in enumerate(sorted(x)))
+
+
 def docs_schema():
     return "doc_id long, text string, lang string, source string, n_chars long"
 
