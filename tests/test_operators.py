@@ -82,6 +82,18 @@ def test_ward_of_many_rows_and_copies():
         assert L.agglomerate(few, 7, linkage).tolist() == [k for i in range(60) for k, g in enumerate(sorted(groups, key=min)) if i in g], linkage
 
 
+def test_groups_of_any_size(spark):
+    """A group of more rows than a distance matrix could hold, inside clusters and as a whole."""
+    rows = spark.range(20_500).select("id", F.array(F.col("id") % 2 * 1e6 + F.col("id") % 3 * 1e3 + F.col("id") / 1e5).alias("vector"))
+
+    class One:
+        def fit_predict(self, points):
+            return points.select("id", F.lit(0).alias("label"))
+
+    out = L.hierarchical(rows, One(), lambda x: L.agglomerate(x, 2)).groupBy("label_l1", "label_l2", "composite").agg(F.count("*").alias("n"), F.count_distinct(F.col("id") % 2).alias("kinds"))
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 0, "A1", 10_250, 1), (0, 1, "A2", 10_250, 1)]
+
+
 def test_core_distances(spark):
     x, _ = blobs(2, 10)
     got = {r["id"]: r["core"] for r in L.core_distances(table(spark, x), 3).collect()}
