@@ -84,7 +84,7 @@ def test_ward_of_many_rows_and_copies():
 
 def test_groups_of_any_size(spark):
     """A group of more rows than a distance matrix could hold, inside clusters and as a whole."""
-    rows = spark.range(20_500).select("id", F.array(F.col("id") % 2 * 1e6 + F.col("id") % 3 * 1e3 + F.col("id") / 1e5).alias("vector"))
+    rows = spark.range(20_500).select("id", F.array(F.col("id") % 2 * 1e3 + F.rand(7), F.rand(8)).alias("vector"))
 
     class One:
         def fit_predict(self, points):
